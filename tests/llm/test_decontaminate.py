@@ -1,0 +1,78 @@
+import random
+
+from gleanery.llm import decontaminate as dc
+
+SCHEMA = "doc_id long, text string, item_id string, row int, tokens int"
+ITEMS = "item_id long, text string, extra string"
+
+
+def words(text):
+    return dc.tokens((text or "").encode()).tolist()
+
+
+def brute(docs, items):
+    """Pairs with an overlap, from every alignment of every document and item."""
+    out = set()
+    for i, text, *_ in docs:
+        d = words(text)
+        for k, item, *_ in items:
+            b = words(item)
+            if len(b) < dc.SHORTEST:
+                continue
+            masks = [m for m in dc.MASKS] if len(b) >= dc.SPAN else ["1" * len(b)]
+            for shift in range(-len(b), len(d)):
+                low, high = max(0, shift), min(len(d), shift + len(b))
+                match = [d[x] == b[x - shift] for x in range(low, high)]
+                for p in range(len(match)):
+                    if any(p + len(m) <= len(match) and all(match[p + j] for j, c in enumerate(m) if c == "1") for m in masks):
+                        sums = [0]
+                        for m in match:
+                            sums.append(sums[-1] + (1 if m else -2))
+                        left = min(range(p + 1), key=lambda x: sums[x])
+                        right = max(range(p, len(sums)), key=lambda x: sums[x])
+                        n = right - left
+                        if n >= min(12, len(b)) and sum(match[left:right]) >= 0.75 * n:
+                            out.add((i, k))
+    return out
+
+
+def run(spark, docs, items):
+    got = dc.find_overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    return got.collect()
+
+
+def make(rng, n):
+    return " ".join(rng.choice(["the", "of", "and", *(f"w{i}" for i in range(300))]) for _ in range(n))
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(k, make(rng, rng.choice([3, 5, 8, 9, 10, 12, 16, 30])), "x") for k in range(40)]
+    docs = []
+    for i in range(120):
+        text = make(rng, rng.randrange(5, 80)).split()
+        if i % 2:
+            leak = items[rng.randrange(40)][1].split()
+            for _ in range(rng.randrange(4)):
+                leak[rng.randrange(len(leak))] = "changed"
+            at = rng.randrange(len(text))
+            text[at:at] = [w.upper() + ",!" for w in leak]
+        docs.append((i, " ".join(text), "x", 1, 1))
+    got = {(r.doc_id, r.item_id) for r in run(spark, docs, items)}
+    assert got == brute(docs, items) and len(got) > 15
+
+
+def test_positions(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    (row,) = run(spark, [(7, "one two three " + item.replace("b7", "x") + " end", None, None, None)], [(3, item, None)])
+    assert row.asDict() == {"doc_id": 7, "item_id": 3, "doc_start": 3, "item_start": 0, "overlap": 20, "matched": 19}
+
+
+def test_odd_rows(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    docs = [(1, None, None, None, None), (2, "", None, None, None), (3, "word " * 30000 + item, None, None, None), (4, item, None, None, None), (4, item, None, None, None), (None, item, None, None, None)]
+    items = [(1, item, None), (2, None, None), (3, "", None), (None, item, None)]
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items)} == {(d, k) for d in (3, 4, None) for k in (1, None)}
+    assert run(spark, [], items) == [] and run(spark, docs, []) == []
+    kept = dc.decontaminate(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and len(kept.columns) == 5
