@@ -18,6 +18,10 @@ from gleanery.llm.common import materialize, same, texts
 from gleanery.llm.components import connected_components
 
 
+#: Differing bits of 320 up to which the pipeline takes two texts for copies of each other.
+WIDE_RADIUS = 60
+
+
 # ---------------------------------------------------------------- fingerprints
 def shingles(text: bytes, size: int = 3) -> list[bytes]:
     """Word shingles, repeats included: A-Z lower-cased, words cut at ASCII white space; all
@@ -102,7 +106,7 @@ def guaranteed_specs() -> tuple[KeySpec, ...]:
     return tuple(KeySpec(a, b) for a, b in permutations(parts, 2))
 
 
-def wide_specs(words: int = 5, fuzzy: int = 12, groups: int = 2, exact: int = 12) -> tuple[KeySpec, ...]:
+def wide_specs(words: int = 5, fuzzy: int = 13, groups: int = 3, exact: int = 12) -> tuple[KeySpec, ...]:
     """Keys for larger radii, with high probability: ``fuzzy`` segments of 23 bits, each beside
     ``groups`` groups of ``exact`` bits taken from other segments."""
     if fuzzy * 23 > words * 64:
@@ -111,7 +115,7 @@ def wide_specs(words: int = 5, fuzzy: int = 12, groups: int = 2, exact: int = 12
     specs = []
     for i, segment in enumerate(segments):
         for g in range(groups):
-            other = segments[(i + 1 + g * (fuzzy // 2)) % fuzzy]
+            other = segments[(i + 1 + g * (fuzzy // groups)) % fuzzy]
             at = (g * 11) % 12
             specs.append(KeySpec((other + other)[at : at + exact], segment))
     return tuple(specs)
@@ -239,13 +243,15 @@ def drop_near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 5,
-    radius: int = 44,
+    radius: int = WIDE_RADIUS,
     specs: tuple[KeySpec, ...] | None = None,
 ) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Uses 320-bit fingerprints of the distinct longer words: unrelated texts differ in about half
-    the bits, a copy with one word in twenty-five replaced in about one bit in eleven. Documents
+    the bits, a copy with one word in twenty-five replaced in about one bit in eleven. The keys
+    of such a fingerprint are 24 bits long; with n different texts a key meets about
+    5.3 n / 2 ** 24 strangers, which only the distance test then turns away. Documents
     without a word (null, empty or blank text) are no copies of each other and stay, and so do
     rows with a null id; of rows that repeat an id all stay or go together. All columns are kept.
     """

@@ -50,7 +50,7 @@ def brute(spark, path, rows, items):
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1] and rows[j][1] and sum(bin(a ^ b).count("1") for a, b in zip(prints[i], prints[j])) <= 44:
+            if rows[i][1] and rows[j][1] and sum(bin(a ^ b).count("1") for a, b in zip(prints[i], prints[j])) <= simhash.WIDE_RADIUS:
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     rows = [r for k, r in enumerate(rows) if group[k] == k]
     leaks = {i for i, _ in test_decontaminate.brute([(r[0], r[1]) for r in rows], items)}
