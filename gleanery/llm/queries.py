@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from gleanery.llm import queries_decontaminate, queries_mixing, queries_pii, queries_quality, queries_simhash
+from gleanery.llm import (
+    queries_decontaminate,
+    queries_langid,
+    queries_mixing,
+    queries_pii,
+    queries_quality,
+    queries_simhash,
+)
 
-_PARTS = (queries_mixing, queries_simhash, queries_decontaminate, queries_quality, queries_pii)
+_PARTS = (
+    queries_decontaminate,
+    queries_langid,
+    queries_mixing,
+    queries_pii,
+    queries_quality,
+    queries_simhash,
+)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
