@@ -5,6 +5,7 @@ from __future__ import annotations
 from gleanery.llm import (
     queries_decontaminate,
     queries_langid,
+    queries_licenses,
     queries_mixing,
     queries_pii,
     queries_quality,
@@ -14,6 +15,7 @@ from gleanery.llm import (
 _PARTS = (
     queries_decontaminate,
     queries_langid,
+    queries_licenses,
     queries_mixing,
     queries_pii,
     queries_quality,
