@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanery.llm import (
+    queries_chunking,
     queries_decontaminate,
     queries_langid,
     queries_licenses,
@@ -13,6 +14,7 @@ from gleanery.llm import (
 )
 
 _PARTS = (
+    queries_chunking,
     queries_decontaminate,
     queries_langid,
     queries_licenses,
