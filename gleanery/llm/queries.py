@@ -11,6 +11,7 @@ from gleanery.llm import (
     queries_pii,
     queries_quality,
     queries_simhash,
+    queries_wrappers,
 )
 
 _PARTS = (
@@ -22,6 +23,7 @@ _PARTS = (
     queries_pii,
     queries_quality,
     queries_simhash,
+    queries_wrappers,
 )
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
