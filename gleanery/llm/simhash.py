@@ -136,14 +136,14 @@ def _gather(columns: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
 
 
 def _keys(found: DataFrame, words: int, specs: tuple[KeySpec, ...], probe: bool) -> DataFrame:
-    """One row per key of every fingerprint. Probe: the nearest codeword only; else all within 4 bits."""
-    names = [f"f{i}" for i in range(words)]
+    """(k, c): one row per key of every fingerprint, c its number. Probe: the nearest codeword only;
+    else all within 4 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                columns = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+                numbers, *columns = (c.to_numpy(zero_copy_only=False) for c in whole.slice(start, 4096).columns)
+                columns = [c.view(np.uint64) for c in columns]
                 rows, keys = [], []
                 for i, spec in enumerate(specs):
                     head = (np.int64(i) << np.int64(36)) | (_gather(columns, spec.exact) << np.int64(12))
@@ -152,38 +152,36 @@ def _keys(found: DataFrame, words: int, specs: tuple[KeySpec, ...], probe: bool)
                     row, col = np.nonzero(index >= 0)
                     rows.append(row)
                     keys.append(head[row] | index[row, col])
-                at = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), *(pa.array(c.view(np.int64)[at]) for c in columns)], ["k", *names]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(numbers[np.concatenate(rows)])], ["k", "c"])
 
-    return found.select(*names).mapInArrow(run, "k long, " + ", ".join(f"{n} long" for n in names))
+    return found.select("c", *(f"f{i}" for i in range(words))).mapInArrow(run, "k long, c long")
 
 
-def _packed(names: list[str], prefix: str = "") -> Column:
-    return F.struct(*(F.col(prefix + n).alias(n) for n in names))
+def _distance(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b))).cast("int")
 
 
 def near_pairs(found: DataFrame, words: int, radius: int, specs: tuple[KeySpec, ...]) -> DataFrame:
     """(u, v, distance): pairs of different fingerprints, u < v, that differ in ``radius`` bits or
-    fewer and share a key. ``found`` has distinct f0, f1, ...; u and v are structs of these.
+    fewer and share a key. ``found`` has distinct f0, f1, ... and their numbers c; u and v are
+    numbers. A fingerprint of one word is its own number.
 
-    The join is on keys of 24 bits and more besides the key's number; nothing is capped, so a
-    key that many fingerprints share is left to the skew handling of the join.
+    The join carries only keys and numbers. Keys have 24 bits and more besides the number of
+    their kind; nothing is capped, so a key that many fingerprints share is left to the skew
+    handling of the join.
     """
+    probe = _keys(found, words, specs, probe=True).withColumnRenamed("c", "u")
+    build = _keys(found, words, specs, probe=False).withColumnRenamed("c", "v")
+    pairs = probe.join(build, "k").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if words == 1:
+        pairs = pairs.withColumn("distance", _distance([F.col("u")], [F.col("v")]))
+        return pairs.where(F.col("distance") <= radius).distinct()
     names = [f"f{i}" for i in range(words)]
-    probe = _keys(found, words, specs, probe=True).select("k", _packed(names).alias("u"))
-    build = _keys(found, words, specs, probe=False).select("k", _packed(names).alias("v"))
-    distance = reduce(
-        lambda a, b: a + b, (F.bit_count(F.col(f"u.{n}").bitwiseXOR(F.col(f"v.{n}"))) for n in names)
-    )
+    u = found.select(F.col("c").alias("u"), *(F.col(n).alias(f"u{n}") for n in names))
+    v = found.select(F.col("c").alias("v"), *(F.col(n).alias(f"v{n}") for n in names))
+    distance = _distance([F.col(f"u{n}") for n in names], [F.col(f"v{n}") for n in names])
     return (
-        probe.join(build, "k")
-        .where("u < v")
-        .withColumn("distance", distance.cast("int"))
-        .where(F.col("distance") <= radius)
-        .select("u", "v", "distance")
-        .distinct()
+        pairs.distinct().join(u, "u").join(v, "v").withColumn("distance", distance).where(F.col("distance") <= radius).select("u", "v", "distance")
     )
 
 
@@ -212,28 +210,24 @@ def simhash_groups(
     specs = specs or guaranteed_specs()
     names = [f"f{i}" for i in range(words)]
     found = materialize(fingerprints(docs, id_col, text_col, features, words), "fingerprints")
-    classes = materialize(
-        found.groupBy(*names).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")), "classes"
-    )
+    classes = found.groupBy(*names).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
+    number = F.col("f0") if words == 1 else F.monotonically_increasing_id()
+    classes = materialize(classes.withColumn("c", number), "classes")
     pairs = materialize(near_pairs(classes, words, radius, specs), "pairs")
-    node = _packed(names)
-    member = classes.select(node.alias("node"), "size", "least")
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = (
-        both.join(member.select(F.col("node").alias("v"), "size"), "v").groupBy("u").agg(F.sum("size").alias("others"))
+        both.join(classes.select(F.col("c").alias("v"), "size"), "v").groupBy("u").agg(F.sum("size").alias("others"))
     )
     groups = connected_components(pairs.select("u", "v"))
     labelled = (
-        member.join(groups, "node", "left")
-        .join(near.withColumnRenamed("u", "node"), "node", "left")
-        .select("node", "size", "least", "others", F.coalesce("component", "node").alias("component"))
+        classes.join(groups.withColumnRenamed("node", "c"), "c", "left")
+        .join(near.withColumnRenamed("u", "c"), "c", "left")
+        .withColumn("component", F.coalesce("component", "c"))
     )
     labelled = materialize(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = labelled.join(least, "component").select(
-        *(F.col(f"node.{n}").alias(n) for n in names),
-        (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"),
-        "component_id",
+        *names, (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"
     )
     return found.join(per_class, names).select(F.col("id").alias(id_col), *names, "n_near", "component_id")
 
