@@ -11,6 +11,7 @@ from gleanery.llm import (
     queries_pii,
     queries_quality,
     queries_simhash,
+    queries_spans,
     queries_wrappers,
 )
 
@@ -23,6 +24,7 @@ _PARTS = (
     queries_pii,
     queries_quality,
     queries_simhash,
+    queries_spans,
     queries_wrappers,
 )
 
