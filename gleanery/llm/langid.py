@@ -119,19 +119,22 @@ def learn_prototypes(
     are made by the executors; the driver gets one vector per language. Null and empty texts add
     nothing; a language without a letter in its texts is not learnt.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))
-    chosen = (
-        docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
+    learnt = (
+        docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
         .where("i is not null and lang is not null")
         .where(crc_remainder(F.col("i"), folds) != held_out)
+        .withColumn("h", F.xxhash64("i"))
+    )
+    # one row per language: where its sample ends
+    ends = (
+        learnt.select("lang", "h", "i")
         .withColumn("rank", rank)
         .where(F.col("rank") <= max_per_language)
-        .select("i", "lang")
-        .distinct()
-    )
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).join(
-        chosen, ["i", "lang"], "left_semi"
+        .groupBy(F.col("lang").alias("_lang"))
+        .agg(F.max(F.struct("h", "i")).alias("end"))
     )
+    sample = learnt.join(ends, learnt["lang"] == ends["_lang"]).where(F.struct("h", "i") <= F.col("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(), {}
