@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialize, table
 from gleanery.llm.decontaminate import decontaminate
-from gleanery.llm.mixing import cyclic_weights, mix_sources, plainness
+from gleanery.llm.mixing import cyclic_weights, mix_sources
 from gleanery.llm.pii import replace_personal_data
 from gleanery.llm.quality import fit_quality, keep_quality
 from gleanery.llm.simhash import drop_near_duplicates
@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies: doc_id, source, text, lang,
     n_chars, size, source_size, target, copies, taken."""
-    mixed = mix_sources(docs, cyclic_weights(docs), quality=plainness(F.col("text")), keep=("text", "lang", "n_chars"))
+    mixed = mix_sources(docs, cyclic_weights(docs), keep=("text", "lang", "n_chars"))
     return mixed.where("copies > 0")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gleanery.llm.common import materialize, same
@@ -11,15 +15,30 @@ from gleanery.llm.common import materialize, same
 BUCKETS = 4096
 
 
-def word_count(text: Column) -> Column:
-    """Number of runs of characters other than ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
 
 
-def plainness(text: Column) -> Column:
+def plainness(text: str) -> float:
     """A quality weight from 0.1 to 1: less the more ASCII digits and punctuation a text holds."""
-    marks = F.length(F.regexp_replace(text, r"[^!-@\[-`{-~]+", ""))
-    return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(2.0) * marks / F.nullif(F.length(text), F.lit(0))), F.lit(0.1))
+    if not text:
+        return 0.1
+    data = text.encode()
+    return max(0.1, 1.0 - 2.0 * (len(data) - len(data.translate(None, _MARKS))) / len(text))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (whose last column is a text) with the text replaced by size and plain: the number of
+    runs of characters other than ASCII white space, 0 for null, and the :func:`plainness`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.columns[-1].to_pylist()
+            size = pa.array([len(t.encode().split()) if t else 0 for t in found], pa.int64())
+            plain = pa.array([plainness(t) for t in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, plain], [*batch.schema.names[:-1], "size", "plain"])
+
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("size", T.LongType()), T.StructField("plain", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def exponential_key(id_col: Column, weight: Column, seed: str = "mix") -> Column:
@@ -110,7 +129,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    quality: Column | None = None,
+    quality_col: str | None = None,
     repeats: int = 3,
     seed: str = "mix",
     keep: tuple[str, ...] = (),
@@ -121,25 +140,27 @@ def mix_sources(
     weight gets nothing. All words together are shared out by weight; a target stops at
     ``repeats`` times its source's size, and what is over goes to the others by weight. A source
     gives complete epochs first; the fractional rest goes to the documents with the smallest
-    exponential keys, scaled by ``quality`` (a column of positive weights over ``docs``; null: 1),
-    as long as the middle of the document is within the budget. So a source misses its target by
+    exponential keys, scaled by the positive weights in ``quality_col`` (null: 1; none named: the
+    texts' :func:`plainness`), as long as the middle of the document is within the budget. So a source misses its target by
     half a document at most.
 
     Null and empty texts have size 0 and are taken 0 words. Rows that share a source and an id
     (null ids too) are one unit of the fractional part. Ties in the key go by id. An empty table
     gives an empty table; columns outside those named are ignored. Reruns agree.
     """
-    quality = F.lit(1.0) if quality is None else F.coalesce(quality, F.lit(1.0))
-    measured = docs.select(
-        F.col(source_col).alias("s"),
-        F.col(id_col).alias("id"),
-        word_count(F.col(text_col)).alias("size"),
-        exponential_key(F.col(id_col), quality, seed).alias("key"),
-        *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)),
-    )
-    sizes = materialize(measured.select("s", "id", "size", "key"), "sizes")
+    given = F.lit(None).cast("double") if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
+    weighed = measured(
+        docs.select(
+            F.col(source_col).alias("s"),
+            F.col(id_col).alias("id"),
+            given.alias("given"),
+            *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)),
+            F.col(text_col).cast("string").alias("t"),
+        )
+    ).withColumn("key", exponential_key(F.col("id"), F.coalesce("given", "plain"), seed))
+    sizes = materialize(weighed.select("s", "id", "size", "key"), "sizes")
     plan = materialize(mix_plan(sizes, weights, repeats), "plan").withColumnRenamed("s", "_s")
-    rows = (measured if keep else sizes).join(plan, same(F.col("s"), F.col("_s")), "left")
+    rows = (weighed if keep else sizes).join(plan, same(F.col("s"), F.col("_s")), "left")
     bucket = _bucket(F.col("key"))
     extra = (bucket < F.col("cut_bucket")) | (
         (bucket == F.col("cut_bucket"))

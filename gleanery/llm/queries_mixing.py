@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
-from gleanery.llm.mixing import cyclic_weights, mix_sources, plainness
+from gleanery.llm.mixing import cyclic_weights, mix_sources
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = table(spark, sf_dir, "documents")
-    mixed = mix_sources(docs, cyclic_weights(docs), quality=plainness(F.col("text")))
+    mixed = mix_sources(docs, cyclic_weights(docs))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -2,8 +2,6 @@ import hashlib
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from gleanery.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, key int, s int"
@@ -77,6 +75,15 @@ def test_cyclic_weights(spark):
     assert got == {"B": 1.0, "a": 2.0, "b": 3.0, None: 1.0}
 
 
-def test_plainness_nulls(spark):
-    docs = spark.createDataFrame([("ab",), ("a!",), ("",), (None,)], "text string")
-    assert [r[0] for r in docs.select(mixing.plainness(F.col("text"))).collect()] == [1.0, 0.1, 0.1, 0.1]
+def test_plainness():
+    assert [mixing.plainness(t) for t in ("ab", "a!", "", None, "éé!é")] == [1.0, 0.1, 0.1, 0.1, 0.5]
+
+
+def test_given_quality_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "w " * 5, "a", 1e9 if i < 5 else None, 0, 0) for i in range(10)], "doc_id long, text string, source string, t double, plain int, key int")
+    table = spark.createDataFrame([("a", 0.5)], "s string, weight double")
+    docs = docs.unionByName(docs.selectExpr("doc_id", "text", "'b' as source", "t", "plain", "key"))
+    table = spark.createDataFrame([("a", 0.5), ("b", 1.5)], "s string, weight double")
+    got = mixing.mix_sources(docs, table, quality_col="t", keep=("t", "plain", "key", "text")).collect()
+    assert {r.doc_id for r in got if r.source == "a" and r.taken} == set(range(5))
+    assert all(r.text == "w " * 5 for r in got)
