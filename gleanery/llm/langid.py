@@ -126,7 +126,7 @@ def learn_prototypes(
         .where(crc_remainder(F.col("i"), folds) != held_out)
         .withColumn("h", F.xxhash64("i"))
     )
-    # one row per language: where its sample ends
+    # where each language's sample ends: one row per language, as there is one prototype each
     ends = (
         learnt.select("lang", "h", "i")
         .withColumn("rank", rank)
@@ -134,7 +134,7 @@ def learn_prototypes(
         .groupBy(F.col("lang").alias("_lang"))
         .agg(F.max(F.struct("h", "i")).alias("end"))
     )
-    sample = learnt.join(ends, learnt["lang"] == ends["_lang"]).where(F.struct("h", "i") <= F.col("end"))
+    sample = learnt.join(F.broadcast(ends), learnt["lang"] == ends["_lang"]).where(F.struct("h", "i") <= F.col("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(), {}
