@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import materialize, same, texts
 
 _BREAK = re.compile(rb"((?<=[.!?])[ \t\r]+|[ \t\r]*\n\s*)")
-LOG_BITS = 27
+LOG_BITS = 25
 
 
 def sentences(text: bytes) -> tuple[list[bytes], list[bytes]]:
