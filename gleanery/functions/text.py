@@ -39,7 +39,7 @@ def not_stop_word(term: Column) -> Column:
 
 def normalize_word(word: str) -> str:
     """The same normalisation for a single word on the driver."""
-    return "".join(c for c in word if c.isalpha() or re.match(r"[̀-ͯ]", c) is None and c.isalpha()).lower()
+    return regex.sub(r"\P{Alphabetic}+", "", word).lower()
 
 
 def normalize_words(text: Column) -> Column:

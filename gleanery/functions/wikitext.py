@@ -7,17 +7,18 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _DROPPED = re.compile(r"<!--.*?-->|<(ref|nowiki|math|gallery|timeline|syntaxhighlight|code|table)\b[^>/]*>.*?</\1\s*>|</?[a-zA-Z][^>]*>|__[A-Z]+__", re.S | re.I)
 _INNERMOST = (
     re.compile(r"\{\{[^{}]*\}\}"),  # templates
     re.compile(r"\{\|(?:(?!\{\||\|\}).)*\|\}", re.S),  # tables
-    re.compile(r"\[\[\s*(?:file|image|category)\s*:[^\[\]]*\]\]", re.I),
 )
 _LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
+_NO_TEXT = re.compile(r"\s*(?:file|image|category)\s*:", re.I)
 _EXTERNAL = re.compile(r"\[(?:https?:|ftp:|mailto:|//)[^\s\]]*(?:\s+([^\]]*))?\]")
 _EMPHASIS = re.compile(r"'''''(?:(?!'''').)*?'''''|'''(?:(?!''').)*?'''|''(?:(?!'').)*?''")
-_HEADING = re.compile(r"^(={1,6})\s*(.*?)\s*\1\s*$", re.M)
+_HEADING = re.compile(r"^(={1,6})[ \t]*(.*?)[ \t]*\1[ \t]*(?:\n|$)", re.M)
 _RULE = re.compile(r"^-{4,}", re.M)
 _LIST = re.compile(r"^[*#]+\s*(.*)$", re.M)
 _DEFINITION = re.compile(r"^[:;]+\s*", re.M)
@@ -37,7 +38,7 @@ def strip_wikitext(text: str) -> str:
             if not n:
                 break
     while True:
-        text, n = _LINK.subn(lambda m: m.group(2) if m.group(2) else m.group(1), text)
+        text, n = _LINK.subn(lambda m: "" if _NO_TEXT.match(m.group(1)) else m.group(2) or m.group(1), text)
         if not n:
             break
     text = _EXTERNAL.sub(lambda m: m.group(1) or "", text)
@@ -49,6 +50,6 @@ def strip_wikitext(text: str) -> str:
     return re.sub(r"[\t\n\r]", " ", unescape(text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_wikitext_column(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else strip_wikitext(x))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,6 +104,47 @@ def decode_postings(data: bytes, count: int) -> list[tuple[int, int]]:
     return out
 
 
+def encode_lists(postings: DataFrame) -> DataFrame:
+    """(segment_id, term, postings, data): every posting list encoded. Lists are put together from
+    sorted partitions as they stream by, so a task holds one list at a time."""
+    keys = ["segment_id", "term"]
+    ordered = postings.select(*keys, "seg_doc_id", "tf").repartition(*keys).sortWithinPartitions(*keys, "seg_doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        done: list[tuple] = []
+        for (segment, term), group in groupby(rows, key=lambda r: r[:2]):
+            pairs = [r[2:] for r in group]
+            done.append((segment, term, len(pairs), encode_postings(pairs)))
+            if len(done) >= 5000:
+                yield _encoded(done)
+                done = []
+        yield _encoded(done)
+
+    return ordered.mapInArrow(run, "segment_id int, term string, postings long, data binary")
+
+
+def _encoded(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in range(4)]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment_id", "term", "postings", "data"])
+
+
+def decode_lists(encoded: DataFrame) -> DataFrame:
+    """The postings back from (segment_id, term, postings, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for segment, term, count, data in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(segment, term, doc, tf) for doc, tf in decode_postings(data, count)]
+            columns = list(zip(*rows)) if rows else [[] for _ in range(4)]
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment_id", "term", "seg_doc_id", "tf"])
+
+    return encoded.mapInArrow(run, "segment_id int, term string, seg_doc_id int, tf int")
+
+
 def _width(largest: Column) -> Column:
     """Bits of the largest number, one at least."""
     return F.greatest(F.lit(1), F.length(F.bin(largest))).cast("long")

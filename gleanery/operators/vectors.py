@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -44,7 +45,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, id_co
             break
         names = [r.query_id for r in taken]
         matrix = np.array([r.embedding for r in taken], np.float64)
-        parts.append(source.mapInArrow(_best_of(names, matrix, limit), f"query_id {kinds[0]}, id {kinds[1]}, distance double"))
+        parts.append(source.mapInArrow(_best_of(names, to_arrow_type(queries.schema["query_id"].dataType), matrix, limit), f"query_id {kinds[0]}, id {kinds[1]}, distance double"))
         if len(taken) < block:
             break
     if not parts:
@@ -57,7 +58,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, id_co
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
-def _best_of(names: list, matrix: np.ndarray, limit: int) -> Callable:
+def _best_of(names: list, name_kind: pa.DataType, matrix: np.ndarray, limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in names]
         kind = None
@@ -76,7 +77,7 @@ def _best_of(names: list, matrix: np.ndarray, limit: int) -> Callable:
         rows = [(names[q], i, d) for q, found in enumerate(best) for d, i in found]
         if rows:
             columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], ["query_id", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], name_kind), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], ["query_id", "id", "distance"])
 
     return run
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gleanery.functions.ids import parse_id_column
@@ -52,10 +55,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@F.pandas_udf("string")
-def _unzipped(content):
-    import gzip
-
+@F.pandas_udf(T.StringType())
+def _unzipped(content: pd.Series) -> pd.Series:
     return content.map(lambda x: gzip.decompress(x).decode("utf-8"))
 
 
@@ -190,8 +191,8 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     """(title, revisions): articles (namespace 0) of a dump, compressed or not, as plain text, revisions
     without text left out and the others by time."""
     pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path).where(F.col("ns") == "0")
-    at = F.monotonically_increasing_id()
-    rows = pages.select(at.alias("page"), "title", F.explode("revision").alias("r")).select("page", "title", "r.timestamp", strip_wikitext_column(F.coalesce("r.text", F.lit(""))).alias("text"))
+    pages = pages.withColumn("page", F.monotonically_increasing_id())
+    rows = pages.select("page", "title", F.explode("revision").alias("r")).select("page", "title", "r.timestamp", strip_wikitext_column(F.coalesce("r.text", F.lit(""))).alias("text"))
     found = rows.where(F.col("text") != "").groupBy("page", "title").agg(F.sort_array(F.collect_list(F.struct("timestamp", "text"))).alias("revisions"))
     return found.select("page", "title", "revisions")
 
