@@ -18,8 +18,8 @@ from gleanery.llm.common import materialize, same, texts
 from gleanery.llm.components import connected_components
 
 
-#: Differing bits of 320 up to which the pipeline takes two texts for copies of each other.
-WIDE_RADIUS = 60
+#: Words of the pipeline's fingerprints, and differing bits up to which two texts count as copies.
+WIDE_WORDS, WIDE_RADIUS = 6, 72
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -106,7 +106,7 @@ def guaranteed_specs() -> tuple[KeySpec, ...]:
     return tuple(KeySpec(a, b) for a, b in permutations(parts, 2))
 
 
-def wide_specs(words: int = 5, fuzzy: int = 13, groups: int = 3, exact: int = 12) -> tuple[KeySpec, ...]:
+def wide_specs(words: int = 6, fuzzy: int = 16, groups: int = 3, exact: int = 12) -> tuple[KeySpec, ...]:
     """Keys for larger radii, with high probability: ``fuzzy`` segments of 23 bits, each beside
     ``groups`` groups of ``exact`` bits taken from other segments."""
     if fuzzy * 23 > words * 64:
@@ -236,13 +236,13 @@ def drop_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    words: int = 5,
+    words: int = WIDE_WORDS,
     radius: int = WIDE_RADIUS,
     specs: tuple[KeySpec, ...] | None = None,
 ) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Uses 320-bit fingerprints of the distinct longer words: unrelated texts differ in about half
+    Uses 384-bit fingerprints of the distinct longer words: unrelated texts differ in about half
     the bits, a copy with one word in twenty-five replaced in about one bit in eleven. The keys
     of such a fingerprint are 24 bits long; with n different texts a key meets about
     5.3 n / 2 ** 24 strangers, which only the distance test then turns away. Documents

@@ -46,7 +46,7 @@ def brute(spark, path, rows, items):
     model = quality.fit_quality(spark.createDataFrame(rows, DOCS), spark.read.parquet(f"{path}/labels.parquet"))
     x = np.array([quality.measures((r[1] or "").encode()) for r in rows])
     rows = [r for r, s in zip(rows, model.score(x)) if s >= 0.3]
-    prints = [simhash.fingerprint(simhash.distinct_words((r[1] or "").encode()), 5) for r in rows]
+    prints = [simhash.fingerprint(simhash.distinct_words((r[1] or "").encode()), simhash.WIDE_WORDS) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
