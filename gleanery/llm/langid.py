@@ -86,16 +86,17 @@ class Encoder:
 
 def _chunks(batch: pa.RecordBatch, name: str, rows: int = 64, size: int = 400_000) -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch, null as empty, in pieces of bounded length, with their offsets."""
-    column = batch.column(batch.schema.get_field_index(name)).to_pylist()
-    start, piece, total = 0, [], 0
-    for k, text in enumerate(column):
-        if piece and (len(piece) >= rows or total + len(text or "") > size):
+    column = batch.column(batch.schema.get_field_index(name))
+    for low in range(0, len(column), rows):
+        start, piece, total = low, [], 0
+        for k, text in enumerate(column.slice(low, rows).to_pylist(), low):
+            if piece and total + len(text or "") > size:
+                yield start, piece
+                start, piece, total = k, [], 0
+            piece.append(text or "")
+            total += len(text or "")
+        if piece:
             yield start, piece
-            start, piece, total = k, [], 0
-        piece.append(text or "")
-        total += len(text or "")
-    if piece:
-        yield start, piece
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
