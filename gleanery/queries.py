@@ -9,6 +9,8 @@ from gleanery.functions import ids, text, wikitext
 from gleanery.operators import boolean, codec, evaluation, index, search, vectors
 from gleanery.plans import boolean as plans
 from gleanery.plans.language import parse
+from gleanery.storage import read_table as _table
+from gleanery.storage import spread
 
 SINGLE = "tion shing the erble, and thati."
 REPEATED = "erin erin thble of ouing ERIN"
@@ -25,12 +27,8 @@ BOOLEAN = {
 VECTOR_QUERY = 0  # the vector that knn_l2 takes as its query
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Where intermediate tables go: a folder that all executors share."""
+"""Reading tables, and where intermediate ones go: a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -34,3 +34,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files make fewer splits than there are; unchanged otherwise, as
+    with any table of many files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
