@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIR: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` where the session names it.
-
-    Where it is unset, a single-JVM session gets a temporary folder, and a cluster a folder
-    below its warehouse; a machine-local folder is never used on a cluster.
-    """
-    global _LOCAL_DIR
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if master == "local" or master.startswith("local["):
-        if _LOCAL_DIR is None:
-            _LOCAL_DIR = tempfile.mkdtemp(prefix="gleanery-")
-            atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
-        return f"file://{_LOCAL_DIR}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gleanery"
-
+from gleanery.storage import materialize, read_table, shared_dir, spread
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: short lineage, no recomputation,
-    and nothing lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["crc_remainder", "materialize", "same", "shared_dir", "table", "texts"]
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -54,7 +23,9 @@ def same(a: Column, b: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; those of whole texts over all cores, however few files they have."""
+    found = read_table(spark, sf_dir, name)
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def crc_remainder(id_col: Column, modulus: int) -> Column:
