@@ -24,7 +24,7 @@ def boolean_search(docs: DataFrame, query: str, scored: bool = True, analyser: s
     postings = postings_of(found, ["key", "doc_id"], F.col("term").isin(*terms))
     places = {t: f"_t{i}" for i, t in enumerate(terms)}
     if scored:
-        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # the same shuffle, used again
         totals = found.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
         postings = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row per query term; one row
         part = bm25(*(F.col(c) for c in ("tf", "doc_len", "df", "n", "avgdl")))

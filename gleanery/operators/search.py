@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gleanery.functions.scoring import bm25, tfidf
 from gleanery.functions.text import ANALYSERS, not_stop_word
-from gleanery.operators.index import Index, analysed, postings_of
+from gleanery.operators.index import Index, analysed
 
 SCORERS = ("bm25", "tfidf")
 
@@ -57,7 +57,8 @@ def search_documents(
         .groupBy("key", "doc_id", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counted over tf, so that both uses of the postings are one plan and their shuffle is made once
+    df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).withColumn("part", _score(scorer))  # totals: one row
     return rank(_summed(scored.select("term", "key", "doc_id", "part"), words), limit)
 
