@@ -9,6 +9,7 @@ import argparse
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.engine import ENGINES, directory_size, engine, engine_dir, evaluate
 from gleanery.functions.ids import format_si
@@ -30,6 +31,13 @@ def arguments() -> argparse.ArgumentParser:
     return parser
 
 
+def progress_line(docs: int, size: int, seconds: float, total: int | None = None) -> str:
+    """Documents and bytes so far, both a second, and the minutes left where the total is known."""
+    per_second = docs / max(1e-9, seconds)
+    line = f"{format_si(docs, 'docs')} ({format_si(per_second, 'docs/sec')}) {format_si(size, 'B')} ({format_si(size / max(1e-9, seconds), 'B/sec')})"
+    return line if total is None else f"{line} ETA ~{int((total - docs) / max(1e-9, per_second) / 60)} minutes"
+
+
 def quality_lines(row, limit: int) -> list[str]:
     lines = [f"queries count: {row.queries}"]
     for name in ("precision", "recall"):
@@ -52,8 +60,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
             began = time.time()
             made = kind.create_on_disk(spark, path, **({"max_segment_docs": args.max_segment_docs} if hasattr(kind, "analyser") else {}))
             made.index_docs(data.docs)
-            count = data.docs.count()
-            lines.append(f"indexed {format_si(count, 'docs')} ({format_si(count / max(1e-9, time.time() - began), 'docs/sec')}), {format_si(directory_size(spark, path), 'B')}")
+            seconds = time.time() - began
+            count, size = data.docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+            lines.append(f"indexed {progress_line(count, size, seconds)}")
+            lines.append(f"index size: {format_si(directory_size(spark, path), 'B')}")
             continue
         opened = kind.open_from_disk(spark, path)
         if args.command == "eval":

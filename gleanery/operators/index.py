@@ -61,6 +61,10 @@ class Index:
         """The posting lists of some terms; the filter reaches the scan of a stored index."""
         return self.postings.where(F.col("term").isin(*terms))
 
+    def stored_docs(self, segment_id: int, *seg_doc_ids: int) -> DataFrame:
+        """The documents at some places of a segment, with their ids and lengths."""
+        return self.docs.where((F.col("segment_id") == segment_id) & F.col("seg_doc_id").isin(*seg_doc_ids))
+
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Parquet below ``path``. Postings lie in directories by segment and are sorted by term and
         document, so that row groups can be left out by their bounds."""

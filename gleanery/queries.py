@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import ids, text, wikitext
-from gleanery.operators import boolean, codec, evaluation, index, search, vectors
+from gleanery.operators import boolean, codec, evaluation, index, search, sets, vectors
 from gleanery.plans import boolean as plans
 from gleanery.plans.language import parse
 from gleanery.storage import read_table as _table
@@ -115,6 +115,30 @@ def collect_top(spark, sf_dir):
     return boolean.collect_top(boolean.boolean_search(_docs(spark, sf_dir), BOOLEAN["bool_or_of_and"]), 20)
 
 
+def _scored(spark, sf_dir, term):
+    return boolean.boolean_search(_docs(spark, sf_dir), term)
+
+
+def set_intersect(spark, sf_dir):
+    return _rounded(sets.intersect(*(_scored(spark, sf_dir, t) for t in ("erble", "tion"))))
+
+
+def set_union(spark, sf_dir):
+    return _rounded(sets.union(*(_scored(spark, sf_dir, t) for t in ("erble", "ouing", "shing"))))
+
+
+def set_exclude(spark, sf_dir):
+    return _rounded(sets.exclude(*(_scored(spark, sf_dir, t) for t in ("tion", "erble", "shing"))))
+
+
+def set_seek(spark, sf_dir):
+    return _rounded(sets.seek(_scored(spark, sf_dir, "tion"), 100))
+
+
+def _rounded(found):
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- evaluation
 JUDGED_TERMS = 6
 
@@ -209,7 +233,7 @@ QUERIES = {
     for f in (
         search_bm25_batch, tokenize_terms, stop_word_filter, doc_lengths, term_postings, term_dictionary, corpus_stats, segment_stats,
         segment_doc_ids, posting_block_stats, search_bm25_single, search_bm25_repeated_term, search_tfidf, search_bm25_per_segment,
-        collect_count, collect_top, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
+        collect_count, collect_top, set_intersect, set_union, set_exclude, set_seek, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
         knn_batch, explain_tree, parse_id, wikitext_strip, codec_round_trip,
     )
 } | {name: _boolean(query) for name, query in BOOLEAN.items()}
@@ -339,6 +363,10 @@ ORACLES = {
     "bool_nested": _LEAVES + _OUT + _NESTED,
     "collect_count": _LEAVES + f"select count(*) as matches from {_OR_OF_AND}",
     "collect_top": _LEAVES + _OUT + _OR_OF_AND + " order by score desc, doc_id limit 20",
+    "set_intersect": _LEAVES + _OUT + "(select a.doc_id, round(a.s, 6) + round(b.s, 6) as s from erble a join tion b using (doc_id))",
+    "set_union": _LEAVES + _OUT + "(select doc_id, sum(round(s, 6)) as s from (select * from erble union all select * from ouing union all select * from shing) group by doc_id)",
+    "set_exclude": _LEAVES + _OUT + "(select doc_id, round(s, 6) as s from tion where doc_id not in (select doc_id from erble) and doc_id not in (select doc_id from shing))",
+    "set_seek": _LEAVES + _OUT + "(select doc_id, round(s, 6) as s from tion where doc_id >= 100)",
     "qrels_filter": _with(_QREL) + "select query_id, doc_id, relevance from qrels where relevance > 1",
     "precision_recall": _EVAL + "select query_id, found, relevant, hits, round(precision, 6) as precision, round(recall, 6) as recall from quality",
     "ndcg_at_10": _EVAL + "select query_id, round(ndcg, 6) as ndcg from quality",
