@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scoring import bm25
 from gleanery.operators.index import analysed, postings_of
+from gleanery.operators.search import with_totals
 from gleanery.plans import boolean
 from gleanery.plans.language import parse
 
@@ -26,7 +27,7 @@ def boolean_search(docs: DataFrame, query: str, scored: bool = True, analyser: s
     if scored:
         df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # the same shuffle, used again
         totals = found.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
-        postings = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row per query term; one row
+        postings = with_totals(postings.join(F.broadcast(df), "term"), totals)  # a row per query term
         part = bm25(*(F.col(c) for c in ("tf", "doc_len", "df", "n", "avgdl")))
     else:
         part = F.lit(0.0)

@@ -59,10 +59,15 @@ def search_documents(
     )
     # counted over tf, so that both uses of the postings are one plan and their shuffle is made once
     df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).withColumn("part", _score(scorer))  # totals: one row
+    scored = with_totals(postings.join(df, "term"), totals).withColumn("part", _score(scorer))
     return rank(_summed(scored.select("term", "key", "doc_id", "part"), words), limit)
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``df`` with the columns of the one row of ``totals``, as scalar subqueries."""
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+
 def _summed(parts: DataFrame, words: DataFrame) -> DataFrame:
     return (
         parts.join(words, "term")
@@ -86,7 +91,7 @@ def search_index(index: Index, queries: DataFrame, limit: int = 10, scorer: str
     elif stats == "global":
         totals = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
         df = index.terms.groupBy("term").agg(F.sum("df").alias("df"))
-        scored = postings.join(df, "term").crossJoin(F.broadcast(totals))  # one row
+        scored = with_totals(postings.join(df, "term"), totals)
     else:
         raise ValueError("stats is 'global' or 'segment'")
     scored = scored.withColumn("key", F.struct(*keys)).withColumn("part", _score(scorer))
