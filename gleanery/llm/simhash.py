@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import golay
 from gleanery.llm.common import materialize, same, texts
 from gleanery.llm.components import connected_components
+from gleanery.llm.setjoin import Memo, release, set_number, set_pairs, shingle_set
 
 
 #: Words of the pipeline's fingerprints, and differing bits up to which two texts count as copies.
@@ -186,6 +187,25 @@ def near_pairs(found: DataFrame, words: int, radius: int, specs: tuple[KeySpec,
 
 
 # ---------------------------------------------------------------- the operator
+def _marked(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, f0, f1, ..., s): fingerprint of the distinct longer words and number of the set of shingles."""
+    names = [f"f{i}" for i in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for batch in batches:
+            found = texts(batch, "t")
+            prints = np.array([fingerprint(distinct_words(t), words) for t in found], np.uint64).reshape(-1, words)
+            numbers = pa.array([set_number(shingle_set(t, memo)) for t in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(prints[:, i].astype(np.int64)) for i in range(words)), numbers], ["id", *names, "s"]
+            )
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", s long")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -242,15 +262,31 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Uses 384-bit fingerprints of the distinct longer words: unrelated texts differ in about half
-    the bits, a copy with one word in twenty-five replaced in about one bit in eleven. The keys
-    of such a fingerprint are 24 bits long; with n different texts a key meets about
-    5.3 n / 2 ** 24 strangers, which only the distance test then turns away. Documents
-    without a word (null, empty or blank text) are no copies of each other and stay, and so do
-    rows with a null id; of rows that repeat an id all stay or go together. All columns are kept.
+    Rows are linked where their sets of three-word shingles have a Jaccard of ``setjoin.JACCARD``
+    or more; the join finds every such link. Rows are also linked where their 384-bit
+    fingerprints of the distinct longer words differ in ``radius`` bits or fewer and share a key:
+    that adds texts of the same words in other shingles, and for these alone it is a search with
+    high recall, not a guarantee. Unrelated texts differ in about half the bits, a copy with one
+    word in twenty-five replaced in about one bit in eleven. The keys of such a fingerprint are
+    24 bits long; with n different texts a key meets about 5.3 n / 2 ** 24 strangers, which only
+    the distance test then turns away. Documents without a word (null, empty or blank text) are
+    no copies of each other and stay, and so do rows with a null id; of rows that repeat an id
+    all stay or go together. All columns are kept.
     """
     specs = specs or wide_specs(words)
+    names = [f"f{i}" for i in range(words)]
     worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    groups = simhash_groups(worded, id_col, text_col, distinct_words, words, radius, specs)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    found = materialize(_marked(worded, id_col, text_col, words), "marked")
+    classes = materialize(found.groupBy(*names).agg(F.min("s").alias("c")), "classes")
+    alike = found.select(*names, "s").distinct().join(classes, names).where("s <> c").select(F.col("c").alias("u"), F.col("s").alias("v"))
+    linked = materialize(set_pairs(worded, text_col), "linked")
+    release(docs)
+    near = materialize(near_pairs(classes, words, radius, specs).select("u", "v"), "near")
+    release(docs)
+    pairs = materialize(linked.unionByName(near).unionByName(alike).distinct(), "pairs")
+    groups = connected_components(pairs)
+    labelled = found.select("id", "s").join(groups.withColumnRenamed("node", "s"), "s", "left")
+    labelled = materialize(labelled.select("id", F.coalesce("component", "s").alias("component")), "labelled")
+    least = labelled.groupBy("component").agg(F.min("id").alias("least"))
+    gone = labelled.join(least, "component").where("id <> least").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, same(docs[id_col], gone["_gone"]), "left_anti")
