@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialize, same, texts
 
-#: 1: the token counts; 0: it may differ. Seven of ten, the ends always among them.
-MASKS = ("1110110101", "1101011011", "1011101101", "1110001111")
+#: 1: the token counts; 0: it may differ. Chosen by enumeration: every pattern of 10 to 23 tokens of
+#: which a quarter at most differs is hit, and longer ones hold such a part of 12 to 23 tokens.
+MASKS = ("111011", "1100001011", "11010011", "1001111", "11111")
 SPAN = 10
 SHORTEST = 5
 _DELETED = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -39,8 +40,8 @@ def _masks(lengths: list[int]) -> list[str]:
     return [*MASKS, *("1" * n for n in sorted(set(lengths)) if SHORTEST <= n < SPAN)]
 
 
-def _seeds(hashes: np.ndarray, masks: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-    """For each mask the key of the window that begins at each token; shorter at the end."""
+def _seeds(hashes: np.ndarray, masks: list[str]) -> Iterator[tuple[int, str, np.ndarray]]:
+    """For each mask its number, itself and the key of the window that begins at each token; shorter at the end."""
     products = [hashes * f for f in _FACTORS]
     for number, mask in enumerate(masks):
         n = len(hashes) - len(mask) + 1
@@ -53,7 +54,7 @@ def _seeds(hashes: np.ndarray, masks: list[str]) -> Iterator[tuple[str, np.ndarr
         total ^= total >> np.uint64(29)
         total *= np.uint64(0xBF58476D1CE4E5B9)
         total ^= total >> np.uint64(32)
-        yield mask, total
+        yield number, mask, total
 
 
 def _bits(key: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +77,9 @@ def find_overlaps(
     """(id_col, item_col, doc_start, item_start, overlap, matched): overlaps of documents and items.
 
     Every window of ``SPAN`` tokens of every text is hashed under masks that leave some positions
-    out, on both sides; equal hashes are joined and the tokens around each hit compared. An
-    overlap is the stretch around a hit, at most ``context`` tokens beyond the windows, in which
+    out, on both sides; equal hashes are joined and the tokens around each hit compared. The masks
+    hit every stretch of ten tokens and more of which three quarters match. An overlap is the
+    stretch around a hit (each hit is tried), at most ``context`` tokens beyond the windows, in which
     matches most outweigh mismatches (+1, -2); it counts with at least ``min_overlap`` tokens (or
     the whole item, if that is shorter), of which a share of ``identity`` or more match. Per
     document and item the longest overlap is returned, the earliest of equals.
@@ -111,8 +113,8 @@ def find_overlaps(
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for row, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = np.array(values, np.int64).astype(np.uint64)
-                for mask, keys in _seeds(hashes, masks):
-                    if len(mask) == SPAN or len(mask) == len(hashes):
+                for number, mask, keys in _seeds(hashes, masks):
+                    if len(hashes) >= SPAN if number < len(MASKS) else len(mask) == len(hashes):
                         out.append((keys.astype(np.int64), np.arange(len(keys)), np.full(len(keys), row)))
             columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "item_at", "row"])
@@ -137,7 +139,7 @@ def find_overlaps(
             hashes = np.concatenate([h for _, h in group])
             ends = np.cumsum([len(h) for _, h in group])
             hits: list[tuple[int, int]] = []
-            for mask, key in _seeds(hashes, masks):
+            for _, mask, key in _seeds(hashes, masks):
                 one, two = _bits(key, log_bits)
                 maybe = np.nonzero(table[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)[0]
                 two = two[maybe]
@@ -190,28 +192,35 @@ def find_overlaps(
     candidate = (
         hit.join(keys, "k")
         .groupBy("r", "row", (F.col("place") - F.col("item_at")).alias("shift"))
-        .agg(F.min("place").alias("place"), F.max("place").alias("last"))
+        .agg(F.collect_set("place").alias("at"))
     )
     paired = candidate.join(region.select("r", "i", "start", F.col("tokens").alias("near")), "r").join(items, "row")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, start, near, shift, place, item, values in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, start, near, shift, places, item, values in zip(*(c.to_pylist() for c in batch.columns)):
                 low, high = max(0, shift), min(len(near), shift + len(values))
                 match = np.array(near[low:high]) == np.array(values[low - shift : high - shift])
                 sums = np.concatenate([[0], np.cumsum(np.where(match, 1, -2))])
-                anchor = place - low
-                left = int(np.argmin(sums[: anchor + 1]))
-                right = anchor + int(np.argmax(sums[anchor:]))
-                length, matched = right - left, int(match[left:right].sum())
-                if length >= min(min_overlap, len(values)) and matched >= identity * length:
-                    out.append((i, item, start + low + left, low - shift + left, length, matched))
+                at = np.arange(len(sums))
+                lowest, highest = np.minimum.accumulate(sums), np.maximum.accumulate(sums[::-1])
+                left = np.maximum.accumulate(np.where(np.append(True, sums[1:] < lowest[:-1]), at, 0))
+                right = at[-1] - np.maximum.accumulate(np.where(np.append(True, sums[::-1][1:] >= highest[:-1]), at, 0))[::-1]
+                total = np.append(0, np.cumsum(match))
+                anchors = np.array(places) - low
+                left, right = left[anchors], right[anchors]
+                length, matched = right - left, total[right] - total[left]
+                good = np.nonzero((length >= min(min_overlap, len(values))) & (matched >= identity * length))[0]
+                if len(good):
+                    g = good[np.lexsort((left[good], -matched[good], -length[good]))[0]]
+                    at = int(left[g])
+                    out.append((i, item, start + low + at, low - shift + at, int(length[g]), int(matched[g])))
             columns = list(zip(*out)) if out else [[] for _ in range(6)]
             kinds = [batch.schema.field(0).type, batch.schema.field(5).type, *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["i", "item", "doc_start", "item_start", "overlap", "matched"])
 
-    checked = paired.select("i", "start", "near", "shift", "place", "item", "tokens").mapInArrow(
+    checked = paired.select("i", "start", "near", "shift", "at", "item", "tokens").mapInArrow(
         verify, f"i {id_kind}, item {item_kind}, doc_start long, item_start long, overlap long, matched long"
     )
     best = checked.groupBy("i", "item").agg(

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from gleanery.llm import decontaminate as dc
@@ -76,3 +77,51 @@ def test_odd_rows(spark):
     assert run(spark, [], items) == [] and run(spark, docs, []) == []
     kept = dc.decontaminate(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and len(kept.columns) == 5
+
+
+def test_masks_hit_every_overlap():
+    for n in range(10, 24):
+        whole = [(int(m[::-1], 2) << at) for m in dc.MASKS for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n // 4):
+            pattern = sum(1 << x for x in changed)
+            assert any(not w & pattern for w in whole), (n, changed)
+
+
+def brute_without_masks(docs, items):
+    """Pairs with an overlap around any matching token; those of which every part that begins or ends it weighs for it."""
+    out, full = set(), set()
+    for i, text, *_ in docs:
+        d = words(text)
+        for k, item, *_ in items:
+            b = words(item)
+            for shift in range(-len(b), len(d)):
+                low, high = max(0, shift), min(len(d), shift + len(b))
+                match = [d[x] == b[x - shift] for x in range(low, high)]
+                sums = [0]
+                for m in match:
+                    sums.append(sums[-1] + (1 if m else -2))
+                for p in [x for x, m in enumerate(match) if m]:
+                    left = min(range(p + 1), key=lambda x: sums[x])
+                    right = max(range(p, len(sums)), key=lambda x: sums[x])
+                    if right - left >= min(12, len(b)) and sum(match[left:right]) >= 0.75 * (right - left):
+                        out.add((i, k))
+                        if sums[left] == min(sums[left:right]) and sums[right] > max(sums[left:right]):
+                            full.add((i, k))
+    return out, full
+
+
+def test_edited_items_against_brute_force_without_masks(spark):
+    rng = random.Random(6)
+    items = [(k, make(rng, rng.choice([10, 12, 13, 14, 15, 16, 18, 30])), "x") for k in range(40)]
+    docs = []
+    for i in range(160):
+        text = make(rng, rng.randrange(5, 40)).split()
+        leak = items[i % 40][1].split()
+        for at in range(i % 4, len(leak), 4) if i % 3 == 0 else rng.sample(range(len(leak)), len(leak) // 4 - i % 2):
+            leak[at] = "changed"
+        at = rng.randrange(len(text))
+        text[at:at] = leak
+        docs.append((i, " ".join(text), "x", 1, 1))
+    got = {(r.doc_id, r.item_id) for r in run(spark, docs, items)}
+    every, full = brute_without_masks(docs, items)
+    assert full <= got <= every and len(full) > 60
