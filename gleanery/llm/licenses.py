@@ -33,6 +33,11 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 
+#: By label: the tokens without which a notice of other wording is another license's.
+TELLING = {
+    "mit": {b"mit"}, "apache": {b"apache"}, "lgpl": {b"lesser"}, "cc-by-nc": {b"nc"}, "cc-by-sa": {b"sa", b"sharealike"}, "mpl": {b"mozilla"},
+}
+
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _BREAK = re.compile(rb"\n|(?<=[.!?;])[ \t]")
 
@@ -47,6 +52,25 @@ def blocks(text: bytes) -> list[bytes]:
     return _BREAK.split(text)
 
 
+def wrapped_runs(text: bytes, longest: int) -> list[tuple[int, int, list[bytes]]]:
+    """(first block, last block, words), from the last to the first: for every block that goes on
+    in the next line the longest run of such blocks with fewer than ``longest`` words between its
+    first and its last. Blank lines and sentence marks at line ends end a run."""
+    cut = [words_of(b) for b in blocks(text)]
+    ends = list(_BREAK.finditer(text))
+    marks = (b".", b"!", b"?", b";")
+    goes_on = [m.group() == b"\n" and text[max(0, m.start() - 2) : m.start()].rstrip(b"\r")[-1:] not in marks for m in ends]
+    out = []
+    for first in range(len(ends) - 1, -1, -1):
+        last, inner = first, 0
+        while last < len(ends) and goes_on[last] and cut[last] and cut[last + 1] and inner < longest:
+            inner += len(cut[last]) if last > first else 0
+            last += 1
+        if last > first:
+            out.append((first, last, [w for b in cut[first : last + 1] for w in b]))
+    return out
+
+
 @dataclass(frozen=True)
 class Template:
     """A template's label, its distinct tokens from the rarest to the commonest, and how many of
@@ -150,6 +174,8 @@ def scan_licenses(
     phrases: tuple[tuple[str, str], ...] = PHRASES,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     threshold: Fraction = Fraction(4, 5),
+    wrapped: bool = False,
+    telling: dict[str, set[bytes]] | None = None,
 ) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks, found).
 
@@ -161,6 +187,10 @@ def scan_licenses(
     templates met; score is the largest containment met, 1 where a phrase stands, else 0;
     ``found`` lists (block number, label, containment).
 
+    ``wrapped``: notices that go on over line ends (:func:`wrapped_runs`) are matched as well,
+    each at the block where it begins. ``telling``: a template that has tokens of its label's
+    set is met only by blocks that hold these.
+
     Null texts count as empty: no words, no labels (empty strings), score 0, first and last null.
     Equal rows get equal results; an empty table gives an empty one; other columns are not read.
     The templates and phrases are part of the program, and so are shipped to every task.
@@ -168,6 +198,26 @@ def scan_licenses(
     counts = token_counts(docs, templates, text_col)
     matcher = Matcher(order_templates(templates, counts, threshold), sorted(counts, key=lambda w: (counts[w], w)))
     parts = [(words_of(p.encode()), label) for p, label in phrases]
+    needs = [(telling or {}).get(t.label, set()).intersection(t.tokens) for t in matcher.templates]
+    longest = max((len(words_of(t.encode())) for _, t in templates), default=0)
+
+    def met(words: list[bytes]) -> list[tuple[int, float]]:
+        return [(k, share) for k, share in matcher.match(words) if needs[k].issubset(words)]
+
+    def wrapped_notices(text: bytes, lines: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        best: list[tuple[int, int, float]] = []
+        latest: dict[int, int] = {}
+        for first, last, words in wrapped_runs(text, longest):
+            for k, share in met(words):
+                if any(t == k and first <= n <= last for n, t, _ in lines):
+                    continue
+                if k in latest and best[latest[k]][0] <= last:  # the same notice, with more lines before it
+                    if share > best[latest[k]][2]:
+                        best[latest[k]] = (first, k, share)
+                    continue
+                latest[k] = len(best)
+                best.append((first, k, share))
+        return best
 
     def scan(text: bytes) -> tuple:
         words = words_of(text)
@@ -176,7 +226,10 @@ def scan_licenses(
         found = []
         if not matcher.rare.isdisjoint(words):
             for number, block in enumerate(blocks(text)):
-                found += [(number, matcher.templates[k].label, share) for k, share in matcher.match(words_of(block))]
+                found += [(number, k, share) for k, share in met(words_of(block))]
+            if wrapped:
+                found += wrapped_notices(text, found)
+            found = [(number, matcher.templates[k].label, share) for number, k, share in found]
         starts = [at for at, _ in places]
         score = 1.0 if places else max((share for *_, share in found), default=0.0)
         labels = base | {label for _, label, _ in found}

@@ -10,7 +10,7 @@ from gleanery.llm.licenses import scan_licenses
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks, found."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}

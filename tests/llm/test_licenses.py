@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from gleanery.llm import licenses
 
@@ -61,3 +62,21 @@ def test_odd_rows(spark):
     got = check(spark, rows)
     assert {r.doc_id: r.n_base for r in got}[4] == 3
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def labels(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan_licenses(docs, wrapped=True, telling=licenses.TELLING).collect()
+    return [[(x.block, x.label) for x in r.found] for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_wrapped_notices_are_found_once(spark):
+    texts, expected = [], []
+    for label, notice in licenses.TEMPLATES:
+        lines = textwrap.wrap(notice, max(20, min(72, len(notice) * 2 // 3)))
+        texts.append("Some code here\n# Author\n\n" + "\n".join("# " + x for x in lines) + ".\n\nint main")
+        expected.append((3, label))
+    texts += ["Licensed under the Apache License,\r\nVersion 2.0", "Licensed under the.\nApache License, Version 2.0", "licensed under\n\nApache License"]
+    got = labels(spark, texts)
+    assert all(x.count(e) == 1 for x, e in zip(got, expected))
+    assert got[-3:] == [[(0, "apache")], [], []]
