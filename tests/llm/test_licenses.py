@@ -80,3 +80,12 @@ def test_wrapped_notices_are_found_once(spark):
     got = labels(spark, texts)
     assert all(x.count(e) == 1 for x, e in zip(got, expected))
     assert got[-3:] == [[(0, "apache")], [], []]
+
+
+def test_notices_get_no_label_of_a_license_they_do_not_name(spark):
+    texts = [
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0",
+        "Released under the X License", "Licensed under CC BY-SA 4.0", "Released under the MIT License", "licensed under the GNU Lesser General Public License",
+    ]
+    got = [{label for _, label in x} for x in labels(spark, texts)]
+    assert [x - {"cc-by"} for x in got] == [{"gpl"}, {"cc-by-nc"}, set(), set(), {"cc-by-sa"}, {"mit"}, {"lgpl"}]
