@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialize
+from gleanery.storage import discard
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -36,7 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = materialize(edges, "edges")
     mark = None
     for _ in range(max_rounds):
-        current = materialize(_star(_star(current, small=False), small=True), "edges")
+        old, current = current, materialize(_star(_star(current, small=False), small=True), "edges")
+        discard(old)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == mark or now.n == 0:
             break

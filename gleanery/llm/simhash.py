@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import golay
@@ -19,10 +18,6 @@ from gleanery.llm.components import connected_components
 from gleanery.llm.setjoin import Memo, release, set_number, set_pairs, shingle_set
 
 
-#: Words of the pipeline's fingerprints, and differing bits up to which two texts count as copies.
-WIDE_WORDS, WIDE_RADIUS = 6, 72
-
-
 # ---------------------------------------------------------------- fingerprints
 def shingles(text: bytes, size: int = 3) -> list[bytes]:
     """Word shingles, repeats included: A-Z lower-cased, words cut at ASCII white space; all
@@ -36,29 +31,16 @@ def shingles(text: bytes, size: int = 3) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
-def distinct_words(text: bytes) -> list[bytes]:
-    """The distinct words of at least four bytes (all, if there are none as long)."""
-    words = set(text.lower().split())
-    return [w for w in words if len(w) > 3] or list(words)
-
-
-def fingerprint(features: list[bytes], words: int = 1, seed: int = 42) -> list[int]:
-    """``words`` unsigned 64-bit numbers; a bit is 1 if over half the features' hashes have it.
-
-    Hash i is XXH64 with seed ``seed + i``. No features: zeros.
-    """
-    out = []
-    for i in range(words):
-        if not features:
-            out.append(0)
-            continue
-        hashed = np.fromiter((xxhash.xxh64_intdigest(x, seed + i) for x in features), np.uint64, len(features))
-        bits = np.zeros(64, np.int64)
-        for at in range(0, len(hashed), 8192):
-            part = hashed[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
-            bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(bits * 2 > len(hashed), bitorder="little").view("<u8")[0]))
-    return out
+def fingerprint(features: list[bytes], seed: int = 42) -> int:
+    """An unsigned 64-bit number; a bit is 1 if over half the features' XXH64 have it. No features: zero."""
+    if not features:
+        return 0
+    hashed = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in features), np.uint64, len(features))
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashed), 8192):
+        part = hashed[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(
@@ -66,31 +48,35 @@ def fingerprints(
     id_col: str = "doc_id",
     text_col: str = "text",
     features: Callable[[bytes], list[bytes]] = shingles,
-    words: int = 1,
+    with_sets: bool = False,
 ) -> DataFrame:
-    """(id, f0, f1, ...): one row per row of ``docs``, the fingerprint as signed 64-bit numbers.
+    """(id, f0): one row per row of ``docs``, the fingerprint as a signed 64-bit number; ``with_sets``:
+    and s, the number of its set of shingles.
 
     A null text counts as empty and has the fingerprint zero. Other columns are not read.
     """
-    names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(features(t), words) for t in texts(batch, "t")], np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(found[:, i].astype(np.int64)) for i in range(words))], ["id", *names]
-            )
+        memo = Memo()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = texts(batch, "t")
+                prints = np.array([fingerprint(features(t)) for t in found], np.uint64).astype(np.int64)
+                columns = [batch.column(0), pa.array(prints)]
+                if with_sets:
+                    columns.append(pa.array([set_number(shingle_set(t, memo)) for t in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "f0", "s"][: len(columns)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(run, f"id {kind}, f0 long" + ", s long" * with_sets)
 
 
 # ---------------------------------------------------------------- keys
 @dataclass(frozen=True)
 class KeySpec:
-    """Bits that must agree exactly, and up to 23 bits decoded to codewords; as bit numbers
-    from 0 over all words of the fingerprint."""
+    """Bits that must agree exactly, and up to 23 bits decoded to codewords; as bit numbers."""
 
     exact: tuple[int, ...]
     fuzzy: tuple[int, ...]
@@ -107,115 +93,59 @@ def guaranteed_specs() -> tuple[KeySpec, ...]:
     return tuple(KeySpec(a, b) for a, b in permutations(parts, 2))
 
 
-def wide_specs(words: int = 6, fuzzy: int = 16, groups: int = 3, exact: int = 12) -> tuple[KeySpec, ...]:
-    """Keys for larger radii, with high probability: ``fuzzy`` segments of 23 bits, each beside
-    ``groups`` groups of ``exact`` bits taken from other segments."""
-    if fuzzy * 23 > words * 64:
-        raise ValueError("the segments need more bits than the fingerprint has")
-    segments = [tuple(range(23 * i, 23 * i + 23)) for i in range(fuzzy)]
-    specs = []
-    for i, segment in enumerate(segments):
-        for g in range(groups):
-            other = segments[(i + 1 + g * (fuzzy // groups)) % fuzzy]
-            at = (g * 11) % 12
-            specs.append(KeySpec((other + other)[at : at + exact], segment))
-    return tuple(specs)
-
-
-def _gather(columns: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
-    """The given bits of every fingerprint as one number, by runs of neighbouring bits."""
-    out = np.zeros(len(columns[0]), np.int64)
-    at = 0
-    while at < len(bits):
-        word, low = divmod(bits[at], 64)
-        run = 1
-        while at + run < len(bits) and bits[at + run] == bits[at] + run and low + run < 64:
-            run += 1
-        out |= ((columns[word] >> np.uint64(low)) & np.uint64((1 << run) - 1)).astype(np.int64) << at
-        at += run
-    return out
-
-
-def _keys(found: DataFrame, words: int, specs: tuple[KeySpec, ...], probe: bool) -> DataFrame:
-    """(k, c): one row per key of every fingerprint, c its number. Probe: the nearest codeword only;
-    else all within 4 bits."""
+def _gather(prints: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    """The given neighbouring bits of every fingerprint as one number."""
+    return ((prints >> np.uint64(bits[0])) & np.uint64((1 << len(bits)) - 1)).astype(np.int64)
+
+
+def _keys(found: DataFrame, specs: tuple[KeySpec, ...], probe: bool) -> DataFrame:
+    """(k, f): one row per key of every fingerprint. Probe: the nearest codeword only; else all
+    within 4 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
-                numbers, *columns = (c.to_numpy(zero_copy_only=False) for c in whole.slice(start, 4096).columns)
-                columns = [c.view(np.uint64) for c in columns]
+                numbers = whole.column(0).slice(start, 4096).to_numpy(zero_copy_only=False)
+                prints = numbers.view(np.uint64)
                 rows, keys = [], []
                 for i, spec in enumerate(specs):
-                    head = (np.int64(i) << np.int64(36)) | (_gather(columns, spec.exact) << np.int64(12))
-                    segment = _gather(columns, spec.fuzzy)
+                    head = (np.int64(i) << np.int64(36)) | (_gather(prints, spec.exact) << np.int64(12))
+                    segment = _gather(prints, spec.fuzzy)
                     index = golay.nearest_index(segment)[:, None] if probe else golay.near_indices(segment)
                     row, col = np.nonzero(index >= 0)
                     rows.append(row)
                     keys.append(head[row] | index[row, col])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(numbers[np.concatenate(rows)])], ["k", "c"])
-
-    return found.select("c", *(f"f{i}" for i in range(words))).mapInArrow(run, "k long, c long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(numbers[np.concatenate(rows)])], ["k", "f"])
 
-def _distance(a: list[Column], b: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b))).cast("int")
+    return found.select("f0").mapInArrow(run, "k long, f long")
 
 
-def near_pairs(found: DataFrame, words: int, radius: int, specs: tuple[KeySpec, ...]) -> DataFrame:
-    """(u, v, distance): pairs of different fingerprints, u < v, that differ in ``radius`` bits or
-    fewer and share a key. ``found`` has distinct f0, f1, ... and their numbers c; u and v are
-    numbers. A fingerprint of one word is its own number.
+def near_pairs(found: DataFrame, radius: int = 2, specs: tuple[KeySpec, ...] | None = None) -> DataFrame:
+    """(u, v): pairs of different fingerprints, u < v, that differ in ``radius`` bits or fewer and
+    share a key; with the default keys every pair within 2 bits. ``found`` has distinct f0.
 
-    The join carries only keys and numbers. Keys have 24 bits and more besides the number of
-    their kind; nothing is capped, so a key that many fingerprints share is left to the skew
-    handling of the join.
+    The join carries nothing but keys and fingerprints. A key has 33 bits and more besides the
+    number of its kind, so that of n fingerprints it meets some n / 10 ** 9 strangers; nothing is
+    capped.
     """
-    probe = _keys(found, words, specs, probe=True).withColumnRenamed("c", "u")
-    build = _keys(found, words, specs, probe=False).withColumnRenamed("c", "v")
-    pairs = probe.join(build, "k").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    if words == 1:
-        pairs = pairs.withColumn("distance", _distance([F.col("u")], [F.col("v")]))
-        return pairs.where(F.col("distance") <= radius).distinct()
-    names = [f"f{i}" for i in range(words)]
-    u = found.select(F.col("c").alias("u"), *(F.col(n).alias(f"u{n}") for n in names))
-    v = found.select(F.col("c").alias("v"), *(F.col(n).alias(f"v{n}") for n in names))
-    distance = _distance([F.col(f"u{n}") for n in names], [F.col(f"v{n}") for n in names])
-    return (
-        pairs.distinct().join(u, "u").join(v, "v").withColumn("distance", distance).where(F.col("distance") <= radius).select("u", "v", "distance")
-    )
+    specs = specs or guaranteed_specs()
+    probe = _keys(found, specs, probe=True).withColumnRenamed("f", "u")
+    build = _keys(found, specs, probe=False).withColumnRenamed("f", "v")
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
+    met = probe.join(build, "k").where((F.col("u") != F.col("v")) & near)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 # ---------------------------------------------------------------- the operator
-def _marked(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, f0, f1, ..., s): fingerprint of the distinct longer words and number of the set of shingles."""
-    names = [f"f{i}" for i in range(words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
-        for batch in batches:
-            found = texts(batch, "t")
-            prints = np.array([fingerprint(distinct_words(t), words) for t in found], np.uint64).reshape(-1, words)
-            numbers = pa.array([set_number(shingle_set(t, memo)) for t in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(prints[:, i].astype(np.int64)) for i in range(words)), numbers], ["id", *names, "s"]
-            )
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", s long")
-
-
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     features: Callable[[bytes], list[bytes]] = shingles,
-    words: int = 1,
     radius: int = 2,
     specs: tuple[KeySpec, ...] | None = None,
 ) -> DataFrame:
-    """Near-duplicate groups: (id_col, f0.., n_near, component_id), one row per row of ``docs``.
+    """Near-duplicate groups: (id_col, f0, n_near, component_id), one row per row of ``docs``.
 
     Rows are linked where their fingerprints differ in ``radius`` bits or fewer; n_near counts
     the other rows linked directly, component_id is the smallest id reachable over links, the
@@ -227,63 +157,50 @@ def simhash_groups(
     null only if the whole group has no id); repeated rows are rows of their own; an empty table
     gives an empty table; other columns are ignored whatever their names.
     """
-    specs = specs or guaranteed_specs()
-    names = [f"f{i}" for i in range(words)]
-    found = materialize(fingerprints(docs, id_col, text_col, features, words), "fingerprints")
-    classes = found.groupBy(*names).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
-    number = F.col("f0") if words == 1 else F.monotonically_increasing_id()
-    classes = materialize(classes.withColumn("c", number), "classes")
-    pairs = materialize(near_pairs(classes, words, radius, specs), "pairs")
-    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = (
-        both.join(classes.select(F.col("c").alias("v"), "size"), "v").groupBy("u").agg(F.sum("size").alias("others"))
-    )
-    groups = connected_components(pairs.select("u", "v"))
+    found = materialize(fingerprints(docs, id_col, text_col, features), "fingerprints")
+    classes = materialize(found.groupBy("f0").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")), "classes")
+    pairs = materialize(near_pairs(classes, radius, specs), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.join(classes.select(F.col("f0").alias("v"), "size"), "v").groupBy(F.col("u").alias("f0")).agg(F.sum("size").alias("others"))
+    groups = connected_components(pairs)
     labelled = (
-        classes.join(groups.withColumnRenamed("node", "c"), "c", "left")
-        .join(near.withColumnRenamed("u", "c"), "c", "left")
-        .withColumn("component", F.coalesce("component", "c"))
+        classes.join(groups.withColumnRenamed("node", "f0"), "f0", "left")
+        .join(near, "f0", "left")
+        .withColumn("component", F.coalesce("component", "f0"))
     )
     labelled = materialize(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = labelled.join(least, "component").select(
-        *names, (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"
+        "f0", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"
     )
-    return found.join(per_class, names).select(F.col("id").alias(id_col), *names, "n_near", "component_id")
+    return found.join(per_class, "f0").select(F.col("id").alias(id_col), "f0", "n_near", "component_id")
 
 
-def drop_near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = WIDE_WORDS,
-    radius: int = WIDE_RADIUS,
-    specs: tuple[KeySpec, ...] | None = None,
-) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Rows are linked where their sets of three-word shingles have a Jaccard of ``setjoin.JACCARD``
-    or more; the join finds every such link. Rows are also linked where their 384-bit
-    fingerprints of the distinct longer words differ in ``radius`` bits or fewer and share a key:
-    that adds texts of the same words in other shingles, and for these alone it is a search with
-    high recall, not a guarantee. Unrelated texts differ in about half the bits, a copy with one
-    word in twenty-five replaced in about one bit in eleven. The keys of such a fingerprint are
-    24 bits long; with n different texts a key meets about 5.3 n / 2 ** 24 strangers, which only
-    the distance test then turns away. Documents without a word (null, empty or blank text) are
-    no copies of each other and stay, and so do rows with a null id; of rows that repeat an id
-    all stay or go together. All columns are kept.
+    Rows are linked where their fingerprints differ in 2 bits or fewer (:func:`near_pairs`), and,
+    since a text with one word in ten replaced is farther than that, where their sets of
+    three-word shingles have a Jaccard of ``setjoin.JACCARD`` or more (:func:`setjoin.set_pairs`).
+    Both searches are complete, so the result does not depend on keys, samples or the size of the
+    table. Links are made between different fingerprints and different sets, which the rows then
+    belong to; how many rows a row is linked with is not worked out.
+
+    Documents without a word (null, empty or blank text) are no copies of each other and stay, and
+    so do rows with a null id; of rows that repeat an id all stay or go together; the smallest of
+    equal ids is the same row's. An empty table gives an empty one. All columns are kept, whatever
+    their names.
     """
-    specs = specs or wide_specs(words)
-    names = [f"f{i}" for i in range(words)]
     worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = materialize(_marked(worded, id_col, text_col, words), "marked")
-    classes = materialize(found.groupBy(*names).agg(F.min("s").alias("c")), "classes")
-    alike = found.select(*names, "s").distinct().join(classes, names).where("s <> c").select(F.col("c").alias("u"), F.col("s").alias("v"))
+    found = materialize(fingerprints(worded, id_col, text_col, with_sets=True), "marked")
+    classes = materialize(found.groupBy("f0").agg(F.min("s").alias("s")), "classes")
+    alike = found.select("f0", "s").distinct().join(classes.withColumnRenamed("s", "c"), "f0").where("s <> c")
     linked = materialize(set_pairs(worded, text_col), "linked")
     release(docs)
-    near = materialize(near_pairs(classes, words, radius, specs).select("u", "v"), "near")
-    release(docs)
-    pairs = materialize(linked.unionByName(near).unionByName(alike).distinct(), "pairs")
+    near = near_pairs(classes)
+    for end in "uv":
+        near = near.join(classes.select(F.col("f0").alias(end), F.col("s").alias(f"{end}s")), end)
+    pairs = linked.unionByName(near.select(F.col("us").alias("u"), F.col("vs").alias("v"))).unionByName(alike.select(F.col("c").alias("u"), F.col("s").alias("v")))
     groups = connected_components(pairs)
     labelled = found.select("id", "s").join(groups.withColumnRenamed("node", "s"), "s", "left")
     labelled = materialize(labelled.select("id", F.coalesce("component", "s").alias("component")), "labelled")

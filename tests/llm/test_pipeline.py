@@ -46,11 +46,13 @@ def brute(spark, path, rows, items):
     model = quality.fit_quality(spark.createDataFrame(rows, DOCS), spark.read.parquet(f"{path}/labels.parquet"))
     x = np.array([quality.measures((r[1] or "").encode()) for r in rows])
     rows = [r for r, s in zip(rows, model.score(x)) if s >= 0.3]
-    prints = [simhash.fingerprint(simhash.distinct_words((r[1] or "").encode()), simhash.WIDE_WORDS) for r in rows]
+    grams = [simhash.shingles((r[1] or "").encode()) for r in rows]
+    prints = [simhash.fingerprint(g) for g in grams]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1] and rows[j][1] and sum(bin(a ^ b).count("1") for a, b in zip(prints[i], prints[j])) <= simhash.WIDE_RADIUS:
+            a, b = set(grams[i]), set(grams[j])
+            if a and b and (bin(prints[i] ^ prints[j]).count("1") <= 2 or 2 * len(a & b) >= len(a | b)):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     rows = [r for k, r in enumerate(rows) if group[k] == k]
     leaks = {i for i, _ in test_decontaminate.brute([(r[0], r[1]) for r in rows], items)}

@@ -50,8 +50,8 @@ def test_guaranteed_keys_find_all_pairs_of_two_bits():
         a, b = (np.array([z], np.uint64) for z in (x, y))
         hit = False
         for s in specs:
-            if simhash._gather([a], s.exact)[0] == simhash._gather([b], s.exact)[0]:
-                hit |= golay.nearest_index(simhash._gather([a], s.fuzzy))[0] in golay.near_indices(simhash._gather([b], s.fuzzy))[0]
+            if simhash._gather(a, s.exact)[0] == simhash._gather(b, s.exact)[0]:
+                hit |= golay.nearest_index(simhash._gather(a, s.fuzzy))[0] in golay.near_indices(simhash._gather(b, s.fuzzy))[0]
         assert hit
 
 
