@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.storage import materialize, read_table, shared_dir, spread
 
-__all__ = ["crc_remainder", "materialize", "same", "shared_dir", "table", "texts"]
+__all__ = ["crc_remainder", "materialize", "same", "shared_dir", "strings", "table", "texts"]
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -17,6 +17,11 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def strings(values: list[bytes | None]) -> pa.Array:
+    """Texts from their bytes, which need not be valid UTF-8."""
+    return pa.array(values, pa.binary()).view(pa.string())
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality under which nulls match."""
     return a.eqNullSafe(b)

@@ -11,146 +11,134 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import materialize, same, texts
-
-_BREAK = re.compile(rb"((?<=[.!?])[ \t\r]+|[ \t\r]*\n\s*)")
-LOG_BITS = 25
-
-
-def sentences(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """The sentences, and what stands behind each (one fewer): cut at white space after a full
-    stop, exclamation or question mark, and at line ends."""
-    parts = _BREAK.split(text)
-    return parts[::2], parts[1::2]
-
-
-def _shortest(counts: list[int], least_words: int, alone_words: int, least_sentences: int) -> list[tuple[int, int]]:
-    out, end, words, n = [], 0, 0, len(counts)
-    for start in range(n):
-        if end < start:
-            end, words = start, 0
-        if counts[start] >= alone_words:
-            out.append((start, start + 1))
+from gleanery.llm.common import materialize, same, strings, texts
+
+#: The words of a run of the query. Shorter runs ("Yes. No.") recur between unrelated texts.
+LEAST_WORDS = 16
+_BREAK = re.compile(
+    rb"[.!?][ \t-\r]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xe0\xa5\xa4)[ \t-\r]*|[ \t\x0b-\r]*\n[ \t-\r]*"  # 。 ！ ？ ।
+)
+_CLAUSE = re.compile(rb"[,;:][ \t-\r]+")
+
+
+def _cut(text: bytes, at: re.Pattern) -> list[bytes]:
+    ends = [m.end() for m in at.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if b > a]
+
+
+def pieces(text: bytes, long_words: int = 30) -> list[bytes]:
+    """The text in sentences, each with the white space behind it: cut behind full stops, exclamation
+    and question marks that white space follows, behind those of scripts without spaces, and at
+    line ends. A sentence of ``long_words`` words and more counts as several, cut behind commas,
+    semicolons and colons that white space follows."""
+    out = []
+    for piece in _cut(text, _BREAK):
+        if piece.count(b" ") + 1 >= long_words and len(piece.split()) >= long_words:
+            out += _cut(piece, _CLAUSE)
         else:
-            while end < n and (words < least_words or end - start < least_sentences):
-                words += counts[end]
-                end += 1
-            if words >= least_words and end - start >= least_sentences:
-                out.append((start, end))
-        if end > start:
-            words -= counts[start]
+            out.append(piece)
     return out
 
 
-def runs(found: list[bytes], least_words: int, alone_words: int, least_sentences: int = 2) -> list[tuple[int, int]]:
-    """(start, end) of the shortest runs that begin, and of those that end, at every sentence, with
-    ``least_sentences`` sentences or more and ``least_words`` words; a sentence of ``alone_words``
-    words is a run by itself. So every sentence of a shared passage is in a run of the passage."""
-    counts = [x.count(b" ") + 1 if x else 0 for x in found]
-    n = len(counts)
-    ahead = _shortest(counts, least_words, alone_words, least_sentences)
-    back = _shortest(counts[::-1], least_words, alone_words, least_sentences)
-    return sorted({*ahead, *((n - b, n - a) for a, b in back)})
+def words_in(sentence: bytes) -> int:
+    """Words by white space, but one per twelve bytes at least, for scripts without spaces."""
+    return max(len(sentence.split()), len(sentence) // 12)
 
 
-def _spans(text: bytes, least_words: int, alone_words: int) -> list[tuple[int, int, int]]:
-    """(hash as a signed number, start, end) of every run of a text."""
-    found, _ = sentences(text)
-    digest = xxhash.xxh64_intdigest
-    return [(digest(b"\x1f".join(found[a:b])), a, b) for a, b in runs(found, least_words, alone_words)]
+def runs(counts: list[int], least_words: int, least_sentences: int = 2) -> np.ndarray:
+    """Rows (start, end), in order: for every sentence the shortest run that begins with it, and the
+    shortest that ends with it, of ``least_sentences`` and more sentences with ``least_words`` words
+    and more. Every longer run is a union of such ones."""
+    total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    n = len(counts)
+    at = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:n] + least_words), at + least_sentences)
+    starts = np.minimum(np.searchsorted(total, total[1:] - least_words, "right") - 1, at + 1 - least_sentences)
+    ahead, back = ends <= n, starts >= 0
+    both = np.concatenate([at[ahead] * (n + 1) + ends[ahead], starts[back] * (n + 1) + at[back] + 1])
+    return np.stack(np.divmod(np.unique(both), n + 1), axis=1)
 
 
-def repeated_sentences(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 16, alone_words: int = 30
+def repeated_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0, least_sentences: int = 2, long_words: int = 30
 ) -> DataFrame:
     """(i, x, places): per document (id and hash of the text) that has some, the runs that repeat an
-    earlier one, as (start, end) of sentences.
-
-    Every run of every text is hashed; runs with equal hashes are copies, and the first by id
-    (null ids last), text hash and place is the original. The originals of repeated hashes are
-    found by one aggregation with partial sums on the map side; a bit table of 2 ** LOG_BITS bits,
-    whatever the number of hashes, then keeps runs that occur once out of the join. A passage in
-    very many documents makes one hot key of that join, whose partition can be split.
+    earlier one, as (start, end) among its sentences that are not blank.
+
+    Every run of ``least_sentences`` consecutive sentences and more with ``least_words`` words is
+    hashed to 128 bits (:func:`runs`); equal hashes are copies: among 10 ** 12 runs two different
+    ones agree with a probability under 10 ** -14. The first by id (null ids last), text hash and
+    place is the original. Runs are hashed once, into a table of the shared folder; the originals
+    of repeated hashes come from one aggregation with partial sums on the map side, and a join
+    brings them to their copies. A passage in very many documents makes a hot key of that join on
+    the copies' side only, whose partition can be split.
     """
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).select(
         "i", F.coalesce(F.xxhash64("t"), F.lit(0)).alias("x"), "t"
     )
     kind = source.schema["i"].dataType.simpleString()
 
-    def emit(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = None if shared is None else np.frombuffer(shared.value, np.uint8)
-            top = np.uint64((1 << LOG_BITS) - 1)
-            for whole in batches:
-                for low in range(0, whole.num_rows, 256):
-                    batch = whole.slice(low, 256)
-                    per_doc = [_spans(t, least_words, alone_words) for t in texts(batch, "t")]
-                    owner = np.repeat(np.arange(len(per_doc)), [len(p) for p in per_doc])
-                    flat = [s for p in per_doc for s in p]
-                    h = np.fromiter((s[0] for s in flat), np.uint64, len(flat))
-                    start = np.fromiter((s[1] for s in flat), np.int32, len(flat))
-                    end = np.fromiter((s[2] for s in flat), np.int32, len(flat))
-                    if table is not None:
-                        at = h & top
-                        held = (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                        owner, h, start, end = owner[held], h[held], start[held], end[held]
-                    rows = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(end)],
-                        ["h", "i", "x", "start", "end"],
-                    )
-
-        return source.mapInArrow(run, f"h long, i {kind}, x long, start int, end int")
-
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, join = xxhash.xxh3_128_digest, b"\x1f".join
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                places, hashes = [], []
+                for text in texts(batch, "t"):
+                    found = [u for u in (p.strip() for p in pieces(text, long_words)) if u]
+                    places.append(runs([words_in(u) for u in found], least_words, least_sentences))
+                    hashes += [digest(join(found[a:b])) for a, b in places[-1].tolist()]
+                rows = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
+                numbers = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                at = np.concatenate([np.zeros((0, 2), np.int64), *places]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[:, 0]), pa.array(at[:, 1])],
+                    ["h", "g", "i", "x", "start", "end"],
+                )
+
+    every = materialize(source.mapInArrow(emit, f"h long, g long, i {kind}, x long, start int, end int"), "runs")
     place = F.struct(F.col("i").isNull().alias("none"), "i", "x", "start")
-    firsts = emit(None).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
-    firsts = materialize(firsts, "firsts")
-    at = F.col("h").bitwiseAND(F.lit((1 << LOG_BITS) - 1))
-    bits = (  # 2 ** (LOG_BITS - 6) rows at most
-        firsts.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toPandas()
-    )
-    bitmap = np.zeros(1 << (LOG_BITS - 6), np.int64)
-    bitmap[bits["w"].to_numpy(np.int64)] = bits["m"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-    again = emit(shared).join(firsts, "h").where(~same(place, F.col("first")))
+    firsts = every.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "g", "first")
+    again = every.join(firsts, ["h", "g"]).where(~same(place, F.col("first")))
     return again.groupBy("i", "x").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # one text's runs
 
 
-def drop_repeated_sentences(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 16, alone_words: int = 30
+def drop_repeated_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0, least_sentences: int = 2, long_words: int = 30
 ) -> DataFrame:
     """(id_col, text_col, n_sentences, n_removed): one row per row of ``docs``, sentences that any
-    repeating run covers (:func:`repeated_sentences`) taken out with what stands behind them.
+    repeating run covers (:func:`repeated_runs`) taken out with the white space behind them.
 
-    Texts without such a run stay as they are, byte for byte. Null texts stay null and empty ones
-    empty, with no sentences; rows that share id and text count as one document and stay alike;
-    an empty table gives an empty table; other columns are not read.
+    Without a floor (``least_words`` 0) that is every repeated run of two sentences and more.
+    Texts without such a run stay as they are, byte for byte. Null texts stay null and empty and
+    blank ones as they are, with no sentences; rows that share id and text count as one document
+    and stay alike, while a run that two rows of one id share goes from the one with the larger
+    text hash; an empty table gives an empty table; other columns are not read.
     """
-    flags = materialize(repeated_sentences(docs, id_col, text_col, least_words, alone_words), "flags")
+    flags = materialize(repeated_runs(docs, id_col, text_col, least_words, least_sentences, long_words), "flags")
     flags = flags.select(F.col("i").alias("_i"), F.col("x").alias("_x"), "places")
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).select(
         "i", F.coalesce(F.xxhash64("t"), F.lit(0)).alias("x"), "t"
     )
     marked = source.join(flags, same(F.col("i"), F.col("_i")) & (F.col("x") == F.col("_x")), "left").select("i", "t", "places")
 
-    def clean(text: str | None, places: list | None) -> tuple[str | None, int, int]:
-        if not text:
-            return text, 0, 0
-        found, gaps = sentences(text.encode())
-        total = sum(map(bool, found))
+    def clean(text: bytes, places: list | None) -> tuple[bytes, int, int]:
+        found = pieces(text, long_words)
+        full = [k for k, p in enumerate(found) if p.strip()]
         if not places:
-            return text, total, 0
-        gone = {k for p in places for k in range(p["start"], p["end"])}
-        gaps = [*gaps, b""]
-        kept = b"".join(found[k] + gaps[k] for k in range(len(found)) if k not in gone)
-        return kept.decode(), total, sum(bool(found[k]) for k in gone)
+            return text, len(full), 0
+        gone = {full[k] for p in places for k in range(p["start"], p["end"])}
+        return b"".join(p for k, p in enumerate(found) if k not in gone), len(full), len(gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [clean(t, p) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            kinds = [pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, text_col, "n_sentences", "n_removed"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                null = batch.column(1).is_null().to_pylist()
+                rows = [clean(t, p) for t, p in zip(texts(batch, "t"), batch.column(2).to_pylist())]
+                kept = strings([None if n else r[0] for n, r in zip(null, rows)])
+                counts = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), kept, *counts], [id_col, text_col, "n_sentences", "n_removed"])
 
     kind = source.schema["i"].dataType.simpleString()
     return marked.mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, n_sentences long, n_removed long")

@@ -1,76 +1,108 @@
 import random
 import re
 
-import xxhash
+import duckdb
+import pytest
 
-from gleanery.llm import spans
+from gleanery.llm import queries_spans, spans
 
 SCHEMA = "doc_id long, text string, x string, places int, h int"
 
 
-def brute(spark, rows, least=16, alone=30):
+def split(text):
+    """Sentences with what stands behind them, one character after the other."""
+    out, last = [], 0
+    for m in re.finditer(r"(?<=[.!?])[ \t\n\r\f\v]+|(?<=[。！？।])[ \t\n\r\f\v]*|[ \t\r\f\v]*\n[ \t\n\r\f\v]*", text):
+        if m.end() > last:
+            out.append(text[last : m.end()])
+            last = m.end()
+    out += [text[last:]] * (last < len(text))
+    return [q for p in out for q in (re.split(r"(?<=[,;:] )(?! )", p) if len(p.split()) >= 30 else [p]) if q]
+
+
+def brute(spark, rows, least):
     """From all runs of all texts, kept whole in order of id, Spark's hash of the text, and place."""
     frame = spark.createDataFrame([(r[1],) for r in rows], "t string").selectExpr("t", "coalesce(xxhash64(t), 0) x")
     hashes = {r.t: r.x for r in frame.collect()}
-    docs = sorted({(r[0] is None, r[0] or 0, hashes[r[1]], r[1]) for r in rows if r[1]}, key=lambda d: d[:3])
-    seen, result = {}, {}
-    split = {}
-    for none, i, x, text in docs:
-        parts = re.split(r"((?<=[.!?])[ \t\r]+|[ \t\r]*\n\s*)", text)
-        found = parts[::2]
-        split[none, i, x] = parts
-        words = [s.count(" ") + 1 if s else 0 for s in found]
+    seen, result = set(), {}
+    for none, i, _, text in sorted({(r[0] is None, r[0] or 0, hashes[r[1]], r[1]) for r in rows if r[1]}, key=lambda d: d[:3]):
+        parts = split(text)
+        full = [k for k, p in enumerate(parts) if p.strip()]
+        found = [parts[k].strip() for k in full]
+        words = [max(len(s.split()), len(s.encode()) // 12) for s in found]
         gone = set()
-        n = len(found)
-        every = [(a, b) for a in range(n) for b in range(a + 1, min(n, a + 60) + 1)]
-        fits = {(a, b) for a, b in every if b - a > 1 and sum(words[a:b]) >= least}
-        ahead = {(a, min(b for c, b in fits if c == a)) for a in {a for a, _ in fits} if words[a] < alone}
-        back = {(max(a for a, d in fits if d == b), b) for b in {b for _, b in fits} if words[b - 1] < alone}
-        for a, b in sorted(ahead | back | {(a, a + 1) for a in range(n) if words[a] >= alone}):
-            key = tuple(found[a:b])
-            if key in seen:
-                gone.update(range(a, b))
-            seen.setdefault(key, (i, a))
-        result[none, i, text] = "".join(s + (parts[2 * k + 1] if 2 * k + 1 < len(parts) else "") for k, s in enumerate(found) if k not in gone)
-    return sorted(((r[0], result[r[0] is None, r[0] or 0, r[1]] if r[1] else r[1]) for r in rows), key=str)
-
-
-def check(spark, rows):
-    got = spans.drop_repeated_sentences(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(spark, rows)
+        for a in range(len(found)):
+            for b in range(a + 2, len(found) + 1):
+                if sum(words[a:b]) >= least:
+                    if tuple(found[a:b]) in seen:
+                        gone.update(full[a:b])
+                    seen.add(tuple(found[a:b]))
+        result[none, i, text] = "".join(p for k, p in enumerate(parts) if k not in gone), len(found), len(gone)
+    out = [(r[0], *(result[r[0] is None, r[0] or 0, r[1]] if r[1] else (r[1], 0, 0))) for r in rows]
+    return sorted(out, key=str)
+
+
+def check(spark, rows, least=0):
+    got = spans.drop_repeated_runs(spark.createDataFrame(rows, SCHEMA), least_words=least).collect()
+    assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got), key=str) == brute(spark, rows, least)
     return got
 
 
-def test_against_brute_force(spark):
+@pytest.fixture(scope="module")
+def passages():
     rng = random.Random(8)
     word = lambda: "w" + str(rng.randrange(400))
-    sentence = lambda: " ".join(word() for _ in range(rng.choice([1, 3, 6, 9, 35]))) + rng.choice(".!?")
+    sentence = lambda: ", ".join(" ".join(word() for _ in range(rng.choice([1, 3, 6, 9]))) for _ in range(rng.choice([1, 1, 1, 6]))) + rng.choice(".!?")
     passage = lambda: rng.choice([" ", "\n", "\n\n "]).join(sentence() for _ in range(rng.randrange(2, 8)))
     shared = [passage() for _ in range(8)]
     rows = []
-    for i in range(150):
+    for i in range(120):
         parts = [passage() for _ in range(rng.randrange(4))]
         for _ in range(rng.randrange(3)):
             parts.insert(rng.randrange(len(parts) + 1), rng.choice(shared))
-        rows.append((rng.randrange(1000), "\n".join(parts), "x", 1, 1))
-    got = check(spark, rows)
-    assert sum(r.n_removed > 0 for r in got) > 50
+        rows.append((i * 7 % 1000, "\n".join(parts), "x", 1, 1))
+    return rows
+
+
+@pytest.mark.parametrize("least", [0, 16])
+def test_against_brute_force(spark, passages, least):
+    assert sum(r.n_removed > 0 for r in check(spark, passages, least)) > 40
+
+
+def test_sql_gives_the_same(spark, passages, tmp_path):
+    spark.createDataFrame(passages, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_spans.op2_substring_dedup(spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        expected = db.execute(queries_spans.ORACLES["op2_substring_dedup"]).fetchall()
+    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(expected)
+
+
+def test_two_short_sentences_are_a_run(spark):
+    rows = [(1, "Alpha. Beta. Gamma.", None, None, None), (2, "Delta. Beta. Gamma.", None, None, None), (3, "Beta. Delta.", None, None, None)]
+    got = {r.doc_id: r.text for r in check(spark, rows)}
+    assert got == {1: "Alpha. Beta. Gamma.", 2: "Delta. ", 3: "Beta. Delta."}
+    assert all(r.n_removed == 0 for r in check(spark, rows, least=16))
 
 
 def test_odd_rows(spark):
-    text = "One two three four five six seven eight. " * 3 + "Nine ten eleven twelve thirteen."
-    long = ("again and again. " * 300).strip()
-    rows = [(1, None, None, None, None), (2, "", None, None, None), (3, text, None, None, None), (3, text, None, None, None), (None, text, None, None, None), (4, text + "\nEnd", None, None, None), (5, long, None, None, None), (6, " \n ", None, None, None)]
-    got = check(spark, rows)
-    assert {r.text for r in got if r.doc_id is None} == {""}
-    assert spans.drop_repeated_sentences(spark.createDataFrame([], SCHEMA)).count() == 0
+    a = "one two three four five six seven eight nine. ten eleven twelve thirteen fourteen fifteen sixteen. end of it"
+    rows = [(5, a, None, None, None), (5, a, "again", 1, 1), (None, a, None, None, None), (None, a + "!", None, None, None), (1, None, None, None, None)]
+    rows += [(2, "", None, None, None), (3, " \n ", None, None, None), (6, a + "\n" + a, None, None, None), (7, "x. " * 40_000, None, None, None), (8, "\n" + a, None, None, None)]
+    rows += [(9, "今日は晴れです。明日は雨でしょう。それでは。", None, None, None), (10, "はい。今日は晴れです。明日は雨でしょう。", None, None, None)]
+    small = [r for r in rows if r[0] != 7]
+    got = check(spark, small)
+    assert [r.text for r in got if r.doc_id == 10] == ["はい。"] and [r.text for r in got if r.doc_id == 5] == [a, a]
+    long = [r for r in spans.drop_repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id == 7]
+    assert [(r.n_sentences, r.text) for r in long] == [(40_000, "x. ")]  # the run that begins with the second sentence repeats the first
 
 
-def test_very_long_text(spark):
-    long = "again and again. " * 30000
-    (row,) = spans.drop_repeated_sentences(spark.createDataFrame([(5, long, None, None, None)], SCHEMA)).collect()
-    assert (row.n_sentences, row.n_removed) == (30000, 29999)
+def test_bytes_that_are_no_utf8_stay(spark):
+    rows = spark.sql("select 1L doc_id, cast(unhex('FF2E20612E20622E') as string) text union all select 2L, cast(unhex('612E20622EFE') as string)")
+    got = spans.drop_repeated_runs(rows).selectExpr("doc_id", "hex(text) h").collect()
+    assert {r.doc_id: r.h for r in got} == {1: "FF2E20612E20622E", 2: "612E20622EFE"}
 
 
-def test_hash_is_of_the_sentences():
-    assert spans._spans(b"a b. c d.", 4, 30) == [(xxhash.xxh64_intdigest(b"a b.\x1fc d."), 0, 2)]
+def test_empty_table(spark):
+    assert spans.drop_repeated_runs(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "n_sentences", "n_removed"]
+    assert spans.drop_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
