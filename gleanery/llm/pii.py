@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import strings
 from gleanery.llm.feistel import invert, permute
 
-KEY = b"change me: 32 bytes of secret key"[:32]
+#: The session setting that names the key, as hexadecimal digits.
+KEY_SETTING = "spark.gleanery.pseudonym.key"
 _EPOCH, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 Step = Callable[[int, int, bytes, str], int]
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in ``KEY_SETTING``; else one drawn for this application, with
+    which pseudonyms are linked within it but not beyond."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(named) if named else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 # ---------------------------------------------------------------- checks
@@ -34,6 +46,19 @@ def _luhn_digit(body: str) -> str:
     return next(d for d in "0123456789" if luhn(body + d))
 
 
+#: Lengths of account numbers by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country codes of telephone numbers: of one, of two and of three digits.
+_CALLING = re.compile(
+    r"1|7|2[07]|3[0-4689]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[57]|42|5[09]|6[789]|8[058]|9[679])[0-9]"
+)
+
+
 def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -49,25 +74,46 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def _within(value: int, domain: int, key: bytes, tweak: str, step: Step, kind: Callable[[int], object]) -> int:
+    """The keyed permutation among the numbers of the domain that are of the value's ``kind``."""
+    mine = kind(value)
+    while True:
+        value = step(value, domain, key, tweak)
+        if kind(value) == mine:
+            return value
+
+
 def _number(text: str, key: bytes, tweak: str, step: Step) -> str:
     d = _digits(text)
     return _refill(text, str(step(int(d), 10 ** len(d), key, f"{tweak}{len(d)}")).zfill(len(d)))
 
 
 def _card(text: str, key: bytes, step: Step) -> str:
-    """Valid numbers stay valid and others invalid: all digits but the last are permuted, and
-    the last keeps its distance from the check digit."""
+    """All digits but the last are permuted, and the last is their check digit."""
     d = _digits(text)
-    off = (int(d[-1]) - int(_luhn_digit(d[:-1]))) % 10
     body = str(step(int(d[:-1]), 10 ** (len(d) - 1), key, f"card{len(d)}")).zfill(len(d) - 1)
-    return _refill(text, body + str((int(_luhn_digit(body)) + off) % 10))
+    return _refill(text, body + _luhn_digit(body))
+
+
+def _calling_code(text: str) -> int:
+    """How many characters a number that begins with + spends on its country code; 0 for others."""
+    found = _CALLING.match(text, 1) if text[0] == "+" else None
+    return found.end() if found else 0
+
+
+def _dialled(value: int) -> bool:
+    """Whether a number of ten digits has an area and an exchange that are in use."""
+    return value >= 2 * 10**9 and value // 10**6 % 10 >= 2
 
 
 def _phone(text: str, key: bytes, step: Step) -> str:
-    """The country code stays, the other digits are permuted."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    keep = head.end() if head else 0
-    return text[:keep] + _number(text[keep:], key, "phone", step)
+    """The country code stays, the other digits are permuted; of ten digits among those that could be
+    dialled in North America or among the rest, of seven among those that begin with 2 and above."""
+    keep = _calling_code(text)
+    d = _digits(text[keep:])
+    kind = {10: _dialled, 7: lambda v: v >= 2 * 10**6}.get(len(d), lambda v: True)
+    moved = _within(int(d), 10 ** len(d), key, f"phone{len(d)}", step, kind)
+    return text[:keep] + _refill(text[keep:], str(moved).zfill(len(d)))
 
 
 def _ssn(text: str, key: bytes, step: Step) -> str:
@@ -87,6 +133,17 @@ def _ip(text: str, key: bytes, step: Step) -> str:
     return ".".join(str(at >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ip6_kind(value: int) -> tuple[bool, bool]:
+    """Whether the first group has four digits, and whether all have, so that it has no short form."""
+    return value >> 124 > 0, all(value >> k & 0xF000 for k in range(0, 128, 16))
+
+
+def _ip6(text: str, key: bytes, step: Step) -> str:
+    """Permuted among the addresses of its kind; written in full or in short as it was, in lower case."""
+    fresh = ipaddress.IPv6Address(_within(int(ipaddress.IPv6Address(text)), 1 << 128, key, "ip6", step, _ip6_kind))
+    return fresh.exploded if len(text) == 39 else str(fresh)
+
+
 def _iban(text: str, key: bytes, step: Step) -> str:
     """Country stays, account digits are permuted, check digits are computed anew."""
     plain = text.replace(" ", "")
@@ -97,8 +154,11 @@ def _iban(text: str, key: bytes, step: Step) -> str:
 
 
 def _day(text: str, key: bytes, step: Step) -> str:
+    """Days up to the twelfth are permuted among themselves, as they may be written in an order that
+    could be another's, and so are the later ones: the order is read from a pseudonym as from its date."""
     order, at = _day_order(text)
-    moved = _EPOCH + timedelta(days=step((at - _EPOCH).days, _DAYS, key, "date"))
+    late = lambda n: (_EPOCH + timedelta(days=n)).day > 12
+    moved = _EPOCH + timedelta(days=_within((at - _EPOCH).days, _DAYS, key, "date", step, late))
     return _refill(text, "".join({"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}[o] for o in order))
 
 
@@ -144,41 +204,60 @@ def _letters(text: str, key: bytes, tweak: str, step: Step) -> str:
 
 
 def _email(text: str, key: bytes, step: Step) -> str:
-    """The local part is permuted; the domain stays."""
+    """The local part and the domain's names are permuted, each by itself; the last name stays."""
     local, _, domain = text.rpartition("@")
-    return _letters(local, key, "mail", step) + "@" + domain
+    names, _, last = domain.rpartition(".")
+    return _letters(local, key, "mail", step) + "@" + _letters(names, key, "host", step) + "." + last
 
 
 def _secret(text: str, key: bytes, step: Step) -> str:
-    """Hexadecimal digits are permuted in pieces of up to 24; each letter keeps its case."""
+    """Hexadecimal digits are permuted in pieces of up to 24. Where small and capital letters are
+    mixed, letters are permuted among letters, each in its case, and figures among figures."""
+    mixed = text != text.lower() and text != text.upper()
     out = []
     for i in range(0, len(text), 24):
-        piece = text[i : i + 24]
-        value = step(int(piece, 16), 16 ** len(piece), key, f"hex{len(piece)}.{i}")
-        out.append(f"{value:0{len(piece)}x}")
+        piece = text[i : i + 24].lower()
+        if not mixed:
+            out.append(f"{step(int(piece, 16), 16 ** len(piece), key, f'hex{len(piece)}.{i}'):0{len(piece)}x}")
+            continue
+        fresh = {}
+        for base, first, where in ((6, 97, [k for k, c in enumerate(piece) if c > "9"]), (10, 48, [k for k, c in enumerate(piece) if c <= "9"])):
+            value = 0
+            for k in where:
+                value = value * base + ord(piece[k]) - first
+            value = step(value, base ** len(where), key, f"hex{base}.{len(where)}.{i}") if where else 0
+            for k in reversed(where):
+                value, digit = divmod(value, base)
+                fresh[k] = chr(first + digit)
+        out.append("".join(fresh[k] for k in range(len(piece))))
     fresh = "".join(out)
-    return fresh.upper() if any(c in "ABCDEF" for c in text) else fresh
+    if mixed:
+        return "".join(f.upper() if c.isupper() else f for f, c in zip(fresh, text))
+    return fresh.upper() if text != text.lower() else fresh
 
 
 # ---------------------------------------------------------------- finding
+_IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\\ ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
 _PATTERN = re.compile(
-    r"""
-    (?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9]))
-  | (?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])
-  | (?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9])
-  | (?<![A-Za-z0-9./-])(?P<date>[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![A-Za-z0-9]|[-/.][0-9])
-  | (?<![A-Za-z0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9]|-[0-9])
-  | (?<![A-Za-z0-9])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}
-      |\([0-9]{3}\)\ ?[0-9]{3}[ .-][0-9]{4}
-      |[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}
-      |(?<!-)[0-9]{3}-[0-9]{4}(?!-[0-9]))(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9-])(?P<card>[0-9]{4}(?:[ -]?[0-9]{4}){3}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}|[0-9]{13,19})(?![A-Za-z0-9]|-[0-9])
+    rf"""
+    (?P<email>[^\W_](?:[\w.%+-]{{0,63}})@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))
+  | (?<![A-Za-z0-9])(?P<iban>{_IBAN})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9])(?P<secret>[0-9a-fA-F]{{32,}})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9:.])(?P<ip6>[0-9A-Fa-f]{{4}}:(?:[0-9A-Fa-f]{{0,4}}:){{1,6}}[0-9A-Fa-f]{{0,4}})(?![A-Za-z0-9:])
+  | (?<![0-9.])(?P<ip>[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})(?!\.?[0-9])
+  | (?<![A-Za-z0-9./-])(?P<date>[0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}})(?![A-Za-z0-9]|[-/.][0-9])
+  | (?<![A-Za-z0-9-])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![A-Za-z0-9]|-[0-9])
+  | (?<![A-Za-z0-9])(?P<phone>\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}
+      |\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}
+      |\([0-9]{{3}}\)\ ?[0-9]{{3}}[ .-][0-9]{{4}}
+      |[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}
+      |(?<!-)[0-9]{{3}}-[0-9]{{4}}(?!-[0-9]))(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9-])(?P<card>[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{3}}|[0-9]{{4}}[ -]?[0-9]{{6}}[ -]?[0-9]{{5}}|[0-9]{{13,19}})(?![A-Za-z0-9]|-[0-9])
     """,
     re.VERBOSE,
 )
-_SIGN = re.compile(r"[0-9@]")
-KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "phone", "card")
+_SIGN = re.compile(r"[0-9@:]")
+KINDS = ("email", "iban", "secret", "ip6", "ip", "date", "ssn", "phone", "card")
 
 
 def _valid(kind: str, text: str) -> bool:
@@ -197,11 +276,24 @@ def _valid(kind: str, text: str) -> bool:
         return _iban_rest(text.replace(" ", "")) == 1
     if kind == "secret":
         return not text.isdigit()
+    if kind == "ip6":
+        try:
+            return int(ipaddress.IPv6Address(text)) >> 124 > 0
+        except ValueError:
+            return False
+    if kind == "card":
+        return luhn(_digits(text)) and len(set(_digits(text))) > 1
+    if kind == "phone":
+        keep = _calling_code(text)
+        d = _digits(text[keep:])
+        if text[0] == "+":
+            return keep > 0 and (len(d) == 10 if text[1] == "1" else 6 <= len(d) <= 16 - keep)
+        return text[0] == "(" or (_dialled(int(d)) if len(d) == 10 else d[0] > "1")
     return True
 
 
 _CHANGE: dict[str, Callable[[str, bytes, Step], str]] = {
-    "email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "date": _day, "ssn": _ssn, "phone": _phone, "card": _card,
+    "email": _email, "iban": _iban, "secret": _secret, "ip6": _ip6, "ip": _ip, "date": _day, "ssn": _ssn, "phone": _phone, "card": _card,
 }
 
 
@@ -210,11 +302,12 @@ def _changed(kind: str, text: str, key: bytes, back: bool) -> str:
     return _CHANGE[kind](text, key, invert if back else permute)
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Counter]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
     """``text`` with every finding replaced, and how many of each kind there were.
 
     A pseudonym has the format of its value and passes the same check, so it is found again and
-    ``back`` restores the text. Equal values get equal pseudonyms everywhere.
+    ``back`` restores the text (IPv6 addresses come back in their usual spelling). Equal values get
+    equal pseudonyms everywhere, numbers and dates also where they are written differently.
     """
     counts: Counter = Counter()
     if not _SIGN.search(text):
@@ -230,38 +323,50 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     return _PATTERN.sub(change, text), counts
 
 
-def pseudonymise_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def _rewritten(batch: pa.RecordBatch, at: int, key: bytes, size: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array, list[Counter]]]:
+    """Slices of a batch, their texts with pseudonyms, and what was found in each. Bytes that are not
+    UTF-8 stay as they are."""
+    for low in range(0, batch.num_rows, size):
+        part = batch.slice(low, size)
+        out: list[bytes | None] = []
+        counts = []
+        for raw in part.column(at).cast(pa.large_binary()).to_pylist():
+            text, found = (None, Counter()) if raw is None else pseudonymise(raw.decode("utf-8", "surrogateescape"), key)
+            out.append(None if text is None else text.encode("utf-8", "surrogateescape"))
+            counts.append(found)
+        yield part, strings(out), counts
+
+
+def pseudonymise_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text_col, n_<kind> for every kind): one row per row of ``docs``.
 
     A null text stays null and an empty one empty, with counts of 0; repeated rows are treated
-    alike; an empty table gives an empty table; other columns are not read. Numbers and dates
-    that fail their check are no findings: addresses with a part over 255, days that do not
-    exist, area 000, bank account numbers with wrong check digits. Runs of 13 to 19 digits are
-    replaced whether or not their check digit is right, and stay right or wrong.
+    alike; an empty table gives an empty table; other columns are not read. Numbers and dates that
+    fail their check are no findings and stay: card numbers with a wrong check digit (Luhn), bank
+    account numbers with wrong check digits or another length than their country's, telephone
+    numbers with an unknown country code or too many or few digits, addresses with a part over
+    255, days that do not exist, area 000.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [(None, Counter()) if t is None else pseudonymise(t, key) for t in batch.column(1).to_pylist()]
-            counts = [pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t for t, _ in done], pa.string()), *counts], [id_col, text_col, *(f"n_{k}" for k in KINDS)]
-            )
+            for part, changed, found in _rewritten(batch, 1, key):
+                counts = [pa.array([c[k] for c in found], pa.int64()) for k in KINDS]
+                yield pa.RecordBatch.from_arrays([part.column(0), changed, *counts], [id_col, text_col, *(f"n_{k}" for k in KINDS)])
 
     source = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
     kind = source.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
-def replace_personal_data(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with the texts pseudonymised in place; every other column unchanged (formats, and so
-    lengths, are kept but for the width of addresses)."""
+def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with the texts pseudonymised in place (:func:`pseudonymise_texts`); every other column
+    unchanged, whatever its name, in the same order. Lengths are kept but for addresses."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            old = batch.column(at)
-            new = pa.array([None if t is None else pseudonymise(t, key)[0] for t in old.to_pylist()], old.type)
-            yield batch.set_column(at, batch.schema.field(at), new)
+            for part, changed, _ in _rewritten(batch, at, key):
+                yield part.set_column(at, batch.schema.field(at).with_type(pa.string()), changed)
 
     return docs.mapInArrow(run, docs.schema)

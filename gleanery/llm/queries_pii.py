@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
-from gleanery.llm.pii import KINDS, pseudonymise_texts
+from gleanery.llm.pii import KINDS, pseudonymise_texts, session_key
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_<kind> and n_found of every document."""
-    changed = pseudonymise_texts(table(spark, sf_dir, "documents"))
+    changed = pseudonymise_texts(table(spark, sf_dir, "documents"), session_key(spark))
     total = sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}"))
     return changed.withColumn("n_found", total)
 
