@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialize, texts
+from gleanery.llm.components import connected_components
+from gleanery.storage import discard
 
 #: Share of all their shingles that two texts must have in common.
 JACCARD = Fraction(1, 2)
@@ -52,20 +54,25 @@ def set_number(found: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, text_col: str, bitmap: bytes | None = None, every: int = 1, then=None, kinds: str = "c long, s array<long>") -> DataFrame:
-    """(c, s), or what ``then`` makes of such batches: number and shingles of every text; of those in the bit table, of one in ``every``."""
+    """(c, s), or what ``then`` makes of such batches: number and shingles of every text; of those in
+    the bit table, of one in ``every``. Copies that one task meets soon after each other count once."""
     shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
+        seen: set[int] = set()
         table = None if shared is None else np.frombuffer(shared.value, np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 numbers, rows = [], []
+                if len(seen) > 100_000:
+                    seen.clear()
                 for text in texts(whole.slice(at, 500), "t"):
                     found = shingle_set(text, memo)
                     c = set_number(found)
                     b = c & (len(table) * 8 - 1) if table is not None else 0
-                    if len(found) and c % every == 0 and (table is None or table[b >> 3] >> (b & 7) & 1):
+                    if len(found) and c % every == 0 and c not in seen and (table is None or table[b >> 3] >> (b & 7) & 1):
+                        seen.add(c)
                         numbers.append(c)
                         rows.append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["c", "s"])
@@ -80,17 +87,10 @@ def release(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def set_pairs(docs: DataFrame, text_col: str = "text", jaccard: Fraction = JACCARD, log_bits: int = 23) -> DataFrame:
-    """(u, v): numbers, u < v, of all pairs of different sets of shingles with a Jaccard of
-    ``jaccard`` or more; every such pair, up to equal 64-bit hashes of different shingles.
-
-    Shingles are put in one order, frequent ones last. Sets that reach the threshold share a
-    shingle among the first n - ceil(t n) + 1 of each; those are joined. A pair then shares at
-    most what is left of either set from the first common one on, and at most the common ones
-    of both prefixes and, behind the last of them, what is left of one set and lies beyond the
-    other's prefix. Pairs for which that is too few are left out, and the rest is verified on
-    whole sets. The order, from a sample of texts, decides on the cost only.
-    """
+def _postings(docs: DataFrame, text_col: str, jaccard: Fraction) -> DataFrame:
+    """(k, c, n, at): for every set c of n shingles the first n - ceil(t n) + 1 in one order, frequent
+    ones last, with their places; only shingles that more than one set has there. Sets that reach the
+    threshold t have one in common. The order, from a sample of texts, decides on the cost only."""
     a, b = jaccard.numerator, jaccard.denominator
     every = max(1, docs.count() // SAMPLE)
     sample = _sets(docs, text_col, every=every).select(F.explode("s").alias("k"))
@@ -113,17 +113,14 @@ def set_pairs(docs: DataFrame, text_col: str = "text", jaccard: Fraction = JACCA
             columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "c", "n", "at"])
 
-    posting = _sets(docs, text_col, then=prefixes, kinds="k long, c long, n int, at int")
-    posting = posting.repartition("k").groupBy("k", "c").agg(F.min("n").alias("n"), F.min("at").alias("at"))  # copies once
-    u, v = (posting.select("k", F.col("c").alias(x), F.col("n").alias(x + "n"), F.col("at").alias(x + "a")) for x in "uv")
-    met = u.join(v, "k").where(f"u < v and {b}L * least(un, vn) >= {a}L * greatest(un, vn)").groupBy("u", "v", "un", "vn")
-    met = met.agg(F.count(F.lit(1)).alias("m"), *(f(x + "a").alias(x + y) for x in "uv" for f, y in ((F.min, "f"), (F.max, "l"))))
-    rest = lambda x, y: f"least(({a}L * {x}n + {b - 1}) div {b} - 1, {y}n - {y}l - 1)"
-    most = f"least(un - uf, vn - vf, m + greatest({rest('u', 'v')}, {rest('v', 'u')}))"
-    met = met.where(f"{a + b}L * {most} >= {a}L * (un + vn)")
-    met = materialize(met.select("u", "v"), "met")
-    del u, v, posting, sample
-    release(docs)
+    every_one = _sets(docs, text_col, then=prefixes, kinds="k long, c long, n int, at int").repartition("k")
+    several = every_one.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    return every_one.join(several.hint("shuffle_hash"), "k").groupBy("k", "c").agg(F.min("n").alias("n"), F.min("at").alias("at"))  # copies once
+
+
+def verified(met: DataFrame, docs: DataFrame, text_col: str, jaccard: Fraction, log_bits: int = 23) -> DataFrame:
+    """(u, v) of ``met`` whose whole sets reach the threshold, written to the shared folder."""
+    a, b = jaccard.numerator, jaccard.denominator
     words = (  # 2 ** (log_bits - 6) rows at most
         met.select(F.explode(F.array("u", "v")).alias("c"))
         .select(F.col("c").bitwiseAND(F.lit((1 << log_bits) - 1)).alias("b"))
@@ -133,8 +130,9 @@ def set_pairs(docs: DataFrame, text_col: str = "text", jaccard: Fraction = JACCA
     )
     bitmap = np.zeros(1 << (log_bits - 6), np.int64)
     bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    sets = materialize(_sets(docs, text_col, bitmap.tobytes()), "sets").dropDuplicates(["c"])
-    both = met.join(sets.select(F.col("c").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("c").alias("v"), F.col("s").alias("y")), "v")
+    sets = materialize(_sets(docs, text_col, bitmap.tobytes()), "sets")
+    once = sets.dropDuplicates(["c"])
+    both = met.join(once.select(F.col("c").alias("u"), F.col("s").alias("x")), "u").join(once.select(F.col("c").alias("v"), F.col("s").alias("y")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,4 +143,63 @@ def set_pairs(docs: DataFrame, text_col: str = "text", jaccard: Fraction = JACCA
                 good.append(b * common >= a * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+    found = materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"), "linked")
+    discard(sets)
+    release(docs)
+    return found
+
+
+def linked_sets(docs: DataFrame, links: DataFrame, text_col: str = "text", jaccard: Fraction = JACCARD, stars: int = 2) -> DataFrame:
+    """(node, component): the components of the texts' sets of shingles (by number) under links
+    between sets with a Jaccard of ``jaccard`` or more, and those given as ``links`` (u, v);
+    complete, up to equal 64-bit hashes of different shingles. Sets without a link have no row.
+
+    Sets are compared by the prefix filter (:func:`_postings`), but not all pairs of a group are:
+    first each set meets one representative per shingle, and keeps the one with which it has
+    most in common, ``stars`` times over with other representatives; links that hold merge
+    groups, however large, at a cost in proportion to their size. Then only pairs of different
+    components remain. For these the search is exhaustive, under length and positional
+    filters: a pair shares at most what is left of either set from the first common shingle on,
+    and at most the common ones of both prefixes and, behind the last of them, what is left of one
+    set and lies beyond the other's prefix; where that could suffice, whole sets are compared.
+    """
+    a, b = jaccard.numerator, jaccard.denominator
+    posting = materialize(_postings(docs, text_col, jaccard), "postings")
+    release(docs)
+    links = links.select("u", "v")
+    fits = f"{b}L * least(un, vn) >= {a}L * greatest(un, vn)"
+
+    def labelled() -> tuple[DataFrame, DataFrame]:
+        """The components so far, and the postings with theirs: of shingles in several components only."""
+        groups = connected_components(links)
+        rows = posting.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
+        rows = rows.select("k", "c", "n", "at", "g").repartition("k")
+        several = rows.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("k")
+        return groups, rows.join(several.hint("shuffle_hash"), "k")
+
+    for turn in range(stars):
+        _, rows = labelled()
+        rows = materialize(rows, "rows")
+        order = F.xxhash64("c", F.lit(turn))
+        first = rows.groupBy("k").agg(F.min_by(F.struct("c", "n", "g"), order).alias("r")).select("k", "r.c", "r.n", "r.g").toDF("k", "u", "un", "ug")
+        met = rows.withColumnsRenamed({"c": "v", "n": "vn"}).join(first, "k").where(f"ug <> g and {fits}").groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
+        best = materialize(met.groupBy("v").agg(F.max_by("u", F.struct("m", "u")).alias("u")).select("u", "v"), "met")
+        links = materialize(links.unionByName(verified(best, docs, text_col, jaccard)), "links")
+        discard(best)
+        discard(rows)
+
+    groups, rows = labelled()
+    rows = materialize(rows, "rows")
+    group = rows.select("k", "g").distinct()
+    across = group.withColumnRenamed("g", "ug").join(group.withColumnRenamed("g", "vg"), "k").where("ug < vg")
+    u, v = (rows.withColumnsRenamed({"c": x, "n": x + "n", "at": x + "a", "g": x + "g"}) for x in "uv")
+    met = across.join(u, ["k", "ug"]).join(v, ["k", "vg"]).where(fits)
+    swap = F.col("u") > F.col("v")
+    met = met.select(*(F.when(swap, F.col(y + z)).otherwise(F.col(x + z)).alias(x + z) for x, y in ("uv", "vu") for z in ("", "n", "a")))
+    met = met.groupBy("u", "v", "un", "vn").agg(F.count(F.lit(1)).alias("m"), *(f(x + "a").alias(x + y) for x in "uv" for f, y in ((F.min, "f"), (F.max, "l"))))
+    rest = lambda x, y: f"least(({a}L * {x}n + {b - 1}) div {b} - 1, {y}n - {y}l - 1)"
+    most = f"least(un - uf, vn - vf, m + greatest({rest('u', 'v')}, {rest('v', 'u')}))"
+    met = materialize(met.where(f"{a + b}L * {most} >= {a}L * (un + vn)").select("u", "v"), "met")
+    discard(rows)
+    discard(posting)
+    return connected_components(links.unionByName(verified(met, docs, text_col, jaccard)))

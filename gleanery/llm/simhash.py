@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import golay
 from gleanery.llm.common import materialize, same, texts
 from gleanery.llm.components import connected_components
-from gleanery.llm.setjoin import Memo, release, set_number, set_pairs, shingle_set
+from gleanery.llm.setjoin import Memo, linked_sets, set_number, shingle_set
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -181,7 +181,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are linked where their fingerprints differ in 2 bits or fewer (:func:`near_pairs`), and,
     since a text with one word in ten replaced is farther than that, where their sets of
-    three-word shingles have a Jaccard of ``setjoin.JACCARD`` or more (:func:`setjoin.set_pairs`).
+    three-word shingles have a Jaccard of ``setjoin.JACCARD`` or more (:func:`setjoin.linked_sets`).
     Both searches are complete, so the result does not depend on keys, samples or the size of the
     table. Links are made between different fingerprints and different sets, which the rows then
     belong to; how many rows a row is linked with is not worked out.
@@ -195,13 +195,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(fingerprints(worded, id_col, text_col, with_sets=True), "marked")
     classes = materialize(found.groupBy("f0").agg(F.min("s").alias("s")), "classes")
     alike = found.select("f0", "s").distinct().join(classes.withColumnRenamed("s", "c"), "f0").where("s <> c")
-    linked = materialize(set_pairs(worded, text_col), "linked")
-    release(docs)
     near = near_pairs(classes)
     for end in "uv":
         near = near.join(classes.select(F.col("f0").alias(end), F.col("s").alias(f"{end}s")), end)
-    pairs = linked.unionByName(near.select(F.col("us").alias("u"), F.col("vs").alias("v"))).unionByName(alike.select(F.col("c").alias("u"), F.col("s").alias("v")))
-    groups = connected_components(pairs)
+    links = near.select(F.col("us").alias("u"), F.col("vs").alias("v")).unionByName(alike.select(F.col("c").alias("u"), F.col("s").alias("v")))
+    groups = linked_sets(worded, materialize(links, "links"), text_col)
     labelled = found.select("id", "s").join(groups.withColumnRenamed("node", "s"), "s", "left")
     labelled = materialize(labelled.select("id", F.coalesce("component", "s").alias("component")), "labelled")
     least = labelled.groupBy("component").agg(F.min("id").alias("least"))

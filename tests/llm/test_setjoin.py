@@ -4,12 +4,19 @@ from fractions import Fraction
 from gleanery.llm import setjoin, simhash
 
 
-def brute(texts, t):
+def brute(texts, t, links=()):
+    """The smallest node that each set reaches, from all pairs."""
     sets = {setjoin.set_number(setjoin.shingle_set(x.encode())): frozenset(simhash.shingles(x.encode())) for x in texts}
-    return {(u, v) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= t * len(sets[u] | sets[v])}
+    pairs = {(u, v) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= t * len(sets[u] | sets[v])} | set(links)
+    least = {c: c for pair in pairs for c in pair}
+    while True:
+        moved = {c: min([least[c], *(least[d] for pair in pairs if c in pair for d in pair)]) for c in least}
+        if moved == least:
+            return least
+        least = moved
 
 
-def test_pairs_against_brute_force(spark):
+def test_components_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = ["one", "one two", "Two one", "a b c", "a b c a b c"]
@@ -21,8 +28,14 @@ def test_pairs_against_brute_force(spark):
         texts.append(" ".join(base[: len(base) * 2 // 3]))
     docs = spark.createDataFrame([(x,) for x in texts], "text string")
     for t in (Fraction(1, 2), Fraction(4, 5)):
-        got = {(r.u, r.v) for r in setjoin.set_pairs(docs, jaccard=t).collect()}
-        assert got == brute(texts, t) and len(got) > 10
+        expected = brute(texts, t)
+        for stars in (0, 2):
+            got = {r.node: r.component for r in setjoin.linked_sets(docs, spark.createDataFrame([], "u long, v long"), jaccard=t, stars=stars).collect()}
+            assert got == expected and len(got) > 10
+    nodes = sorted(set(map(lambda x: setjoin.set_number(setjoin.shingle_set(x.encode())), texts)))
+    links = [(nodes[k], nodes[k + 9]) for k in range(0, len(nodes) - 9, 20)]
+    got = {r.node: r.component for r in setjoin.linked_sets(docs, spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == brute(texts, setjoin.JACCARD, links)
 
 
 def test_copies_at_the_very_threshold_are_dropped(spark):
