@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import materialize, same
+from gleanery.llm.common import materialize, same, texts
 
 BUCKETS = 4096
 
@@ -18,12 +18,12 @@ BUCKETS = 4096
 _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
 
 
-def plainness(text: str) -> float:
+def plainness(data: bytes) -> float:
     """A quality weight from 0.1 to 1: less the more ASCII digits and punctuation a text holds."""
-    if not text:
+    if not data:
         return 0.1
-    data = text.encode()
-    return max(0.1, 1.0 - 2.0 * (len(data) - len(data.translate(None, _MARKS))) / len(text))
+    marks = len(data) - len(data.translate(None, _MARKS))
+    return max(0.1, 1.0 - 2.0 * marks / len(data.decode("utf-8", "surrogateescape")))
 
 
 def measured(rows: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def measured(rows: DataFrame) -> DataFrame:
     runs of characters other than ASCII white space, 0 for null, and the :func:`plainness`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.columns[-1].to_pylist()
-            size = pa.array([len(t.encode().split()) if t else 0 for t in found], pa.int64())
-            plain = pa.array([plainness(t) for t in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, plain], [*batch.schema.names[:-1], "size", "plain"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                found = texts(batch, batch.schema.names[-1])
+                size = pa.array([len(t.split()) for t in found], pa.int64())
+                plain = pa.array([plainness(t) for t in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, plain], [*batch.schema.names[:-1], "size", "plain"])
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("size", T.LongType()), T.StructField("plain", T.DoubleType())])
     return rows.mapInArrow(run, schema)
@@ -84,6 +86,7 @@ def mix_plan(sizes: DataFrame, weights: DataFrame, repeats: int = 3) -> DataFram
     pre-aggregated, so a source with a third of all rows is no one task's load.
     """
     totals = sizes.groupBy("s").agg(F.sum("size").alias("source_size"))
+    weights = weights.groupBy("s").agg(F.sum("weight").alias("weight"))
     totals = totals.join(weights.select(F.col("s").alias("_s"), "weight"), same(F.col("s"), F.col("_s")), "left")
     totals = materialize(totals.select("s", "source_size", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).cast("double").alias("weight")), "totals")
     per_weight = level(totals, repeats)
@@ -136,18 +139,21 @@ def mix_sources(
 ) -> DataFrame:
     """id, source, ``keep`` columns, size, source_size, target, copies, taken: one row per document.
 
-    ``weights`` has columns s (source, null allowed) and weight; a source without a positive
-    weight gets nothing. All words together are shared out by weight; a target stops at
+    ``weights`` has columns s (source, null allowed) and weight; weights of a source named more
+    than once add up, and a source without a positive weight gets nothing. All words together are shared out by weight; a target stops at
     ``repeats`` times its source's size, and what is over goes to the others by weight. A source
     gives complete epochs first; the fractional rest goes to the documents with the smallest
     exponential keys, scaled by the positive weights in ``quality_col`` (null: 1; none named: the
     texts' :func:`plainness`), as long as the middle of the document is within the budget. So a source misses its target by
     half a document at most.
 
-    Null and empty texts have size 0 and are taken 0 words. Rows that share a source and an id
-    (null ids too) are one unit of the fractional part. Ties in the key go by id. An empty table
+    Null and empty texts have size 0 and are taken 0 words. Rows that share a source, an id (null
+    ids too) and a quality weight are one unit of the fractional part. Ties in the key go by id.
+    Columns of ``keep`` must not be called like a column of the result (ValueError). An empty table
     gives an empty table; columns outside those named are ignored. Reruns agree.
     """
+    if clash := {id_col, source_col, "size", "source_size", "target", "copies", "taken"} & set(keep):
+        raise ValueError(f"kept columns with names of the result: {sorted(clash)}")
     given = F.lit(None).cast("double") if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
     weighed = measured(
         docs.select(

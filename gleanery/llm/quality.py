@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm.common import crc_remainder, texts
 from gleanery.llm.gam import Gam, fit
@@ -67,8 +68,8 @@ def fit_quality(
 
     Of the labelled ids whose crc32 (as text) modulo ``folds`` is not 0, the ``max_rows`` with
     the smallest hash are learnt from; rows with a null id or label are not, and where an id is
-    labelled repeatedly the majority counts (a draw: 1). Only this sample's measures come to
-    the driver. No usable label gives a constant score of 0.5.
+    labelled repeatedly the majority counts (a draw: 1), and of documents that share an id the
+    smallest text is learnt from. Only this sample's measures, a row per id, come to the driver. No usable label gives a constant score of 0.5.
     """
     label = (
         labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y"))
@@ -82,7 +83,8 @@ def fit_quality(
     sample = (
         docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
         .join(F.broadcast(label), "i")  # max_rows rows at most
-        .select("i", "t", F.col("y").cast("int").alias("y"))
+        .groupBy("i")
+        .agg(F.min("t").alias("t"), F.first("y").cast("int").alias("y"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,5 +121,19 @@ def keep_quality(docs: DataFrame, model: Gam, threshold: float = 0.3, text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
+def add_quality(docs: DataFrame, model: Gam, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of every row as another column, which must be a new one (ValueError)."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                yield batch.append_column(name, pa.array(model.score(_matrix(batch, text_col))))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def predicted(score: Column, threshold: float = 0.3) -> Column:
     return (score >= threshold).cast("int")

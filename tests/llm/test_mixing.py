@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 
+import pytest
+
 from gleanery.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, key int, s int"
@@ -76,7 +78,7 @@ def test_cyclic_weights(spark):
 
 
 def test_plainness():
-    assert [mixing.plainness(t) for t in ("ab", "a!", "", None, "éé!é")] == [1.0, 0.1, 0.1, 0.1, 0.5]
+    assert [mixing.plainness(t.encode()) for t in ("ab", "a!", "", "é!!", "éé!é")] == [1.0, 0.1, 0.1, 0.1, 0.5]
 
 
 def test_given_quality_and_clashing_names(spark):
@@ -87,3 +89,17 @@ def test_given_quality_and_clashing_names(spark):
     got = mixing.mix_sources(docs, table, quality_col="t", keep=("t", "plain", "key", "text")).collect()
     assert {r.doc_id for r in got if r.source == "a" and r.taken} == set(range(5))
     assert all(r.text == "w " * 5 for r in got)
+
+
+def test_repeated_weights_add_up(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "ab"[i % 2], None, None, None) for i in range(20)], SCHEMA)
+    twice = spark.createDataFrame([("a", 0.5), ("b", 1.0), ("a", 0.5)], "s string, weight double")
+    once = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, weight double")
+    got, expected = (sorted(mixing.mix_sources(docs, w).collect()) for w in (twice, once))
+    assert got == expected and len(got) == 20
+
+
+def test_kept_columns_must_not_clash(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    with pytest.raises(ValueError, match="size"):
+        mixing.mix_sources(docs, mixing.cyclic_weights(docs), keep=("size",))

@@ -57,7 +57,7 @@ def brute(spark, path, rows, items):
     rows = [r for k, r in enumerate(rows) if group[k] == k]
     leaks = {i for i, _ in test_decontaminate.brute([(r[0], r[1]) for r in rows], items)}
     rows = [r for r in rows if r[0] not in leaks]
-    rows = [(r[0], r[1] and pii.pseudonymise(r[1])[0], *r[2:]) for r in rows]
+    rows = [(r[0], r[1] and pii.pseudonymise(r[1], pii.session_key(spark))[0], *r[2:]) for r in rows]
     return rows
 
 
