@@ -12,35 +12,45 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import materialize, table
 from gleanery.llm.decontaminate import decontaminate
 from gleanery.llm.mixing import cyclic_weights, mix_sources
-from gleanery.llm.pii import replace_personal_data
-from gleanery.llm.quality import fit_quality, keep_quality
+from gleanery.llm.pii import replace_personal_data, session_key
+from gleanery.llm.quality import add_quality, fit_quality, keep_quality
 from gleanery.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more stay; learnt from the labelled ones among ``docs``."""
+    """Documents that score 0.3 or more stay; learnt from the labelled ones among ``docs``. Without a
+    label all score 0.5. Null and empty texts score as texts without any mark of quality; equal
+    texts score alike; other columns are kept as they are, whatever their names."""
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays."""
+    """Of every group of near-duplicates the document with the smallest id stays, in all its rows where
+    it has several. Texts without a word and rows without an id stay; no other column is read."""
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go, all rows of an id together (a null id is
+    one); null and empty texts hold none; no other column is read."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets format-preserving pseudonyms; n_chars follows the new text."""
-    return replace_personal_data(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data gets format-preserving pseudonyms, equal ones for equal values; n_chars follows the
+    new text (null for a null text); other columns stay."""
+    return replace_personal_data(docs, session_key(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies: doc_id, source, text, lang,
-    n_chars, size, source_size, target, copies, taken."""
-    mixed = mix_sources(docs, cyclic_weights(docs), keep=("text", "lang", "n_chars"))
+    n_chars, size, source_size, target, copies, taken. The keys that order the documents of a source
+    are scaled by quality, as learnt from the labelled ones of ``docs``; texts without a word are
+    taken or not by their keys like any other; a null source is a source; further columns are
+    left behind."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = add_quality(docs.select("doc_id", "source", "text", "lang", "n_chars"), model, "quality")
+    mixed = mix_sources(scored, cyclic_weights(docs), quality_col="quality", keep=("text", "lang", "n_chars"))
     return mixed.where("copies > 0")
 
 
