@@ -16,26 +16,45 @@ from gleanery.llm.common import texts
 
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label and wording of notices that licenses ask for.
+#: Label and wording of notices: what licenses ask for, and the sentences by which their texts are known.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "you may not use this file except in compliance with the License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("agpl", "licensed under the GNU Affero General Public License"),
+    ("cc0", "dedicated to the public domain under CC0 1.0 Universal"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Released under the BSD License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("reserved", "All rights reserved"),
-)
-
-#: By label: the tokens without which a notice of other wording is another license's.
-TELLING = {
-    "mit": {b"mit"}, "apache": {b"apache"}, "lgpl": {b"lesser"}, "cc-by-nc": {b"nc"}, "cc-by-sa": {b"sa", b"sharealike"}, "mpl": {b"mozilla"},
+    *(
+        (f"cc-{short.lower()}", wording)
+        for short, long in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for wording in (f"CC {short} 4.0", f"Licensed under CC {short} 4.0", f"licensed under a Creative Commons {long} 4.0 International License")
+    ),
+)
+
+#: Tokens that name a license, by what they name. A notice is its template's license only if it holds
+#: those that the template holds. Beside a template's word (the keys of VARIANTS) it must name the
+#: same variants of the license.
+NAMES = {
+    b"mit": "mit", b"apache": "apache", b"mozilla": "mpl", b"bsd": "bsd", b"cc0": "cc0", b"reserved": "reserved", b"unencumbered": "unlicense",
+}
+VARIANTS = {
+    "gnu": {b"lesser": "lgpl", b"library": "lgpl", b"affero": "agpl"},
+    "cc": {b"nc": "nc", b"noncommercial": "nc", b"sa": "sa", b"sharealike": "sa", b"nd": "nd", b"noderivatives": "nd", b"noderivs": "nd"},
+    "commons": {b"nc": "nc", b"noncommercial": "nc", b"sa": "sa", b"sharealike": "sa", b"nd": "nd", b"noderivatives": "nd", b"noderivs": "nd"},
 }
 
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -113,9 +132,10 @@ def order_templates(templates: tuple[tuple[str, str], ...], counts: dict[bytes,
 class Matcher:
     """Finds for a block the templates of which it holds the needed share of tokens.
 
-    Prefix filter: such a block holds one of the template's ``n - needed + 1`` rarest tokens, so
-    only those are indexed. Length filter: a block with fewer tokens than needed is passed over.
-    Positional filter: at the first common token, what is left of both must still suffice.
+    Tokens are in one global order, the rarest first, in templates and blocks alike. Prefix filter:
+    such a block holds one of the template's ``n - needed + 1`` rarest tokens, so only those are
+    indexed. Length filter: a block with fewer tokens than needed is passed over. Positional filter:
+    at the first common token what the block has left, it included, must still suffice.
     """
 
     def __init__(self, templates: list[Template], order: list[bytes]) -> None:
@@ -124,10 +144,10 @@ class Matcher:
         self.order: dict[bytes, int] = {}
         for w in order:
             self.order[w] = len(self.order)
-        self.index: dict[bytes, list[tuple[int, int]]] = {}
+        self.index: dict[bytes, list[int]] = {}
         for k, t in enumerate(templates):
-            for at, w in enumerate(t.tokens[: len(t.tokens) - t.needed + 1]):
-                self.index.setdefault(w, []).append((k, at))
+            for w in t.tokens[: len(t.tokens) - t.needed + 1]:
+                self.index.setdefault(w, []).append(k)
         self.rare = frozenset(self.index)
 
     def match(self, words: list[bytes]) -> list[tuple[int, float]]:
@@ -135,13 +155,17 @@ class Matcher:
         held = self.order.keys() & set(words)
         seen: set[int] = set()
         out = []
-        for w in sorted(held & self.rare, key=self.order.__getitem__):
-            for k, at in self.index[w]:
-                t = self.templates[k]
-                if k in seen or len(held) < t.needed:
+        if self.rare.isdisjoint(held):
+            return out
+        ordered = sorted(held, key=self.order.__getitem__)
+        for place, w in enumerate(ordered):
+            left = len(ordered) - place
+            for k in self.index.get(w, ()):
+                if k in seen:
                     continue
-                seen.add(k)  # the first common token of the prefix: none before it is held
-                if len(t.tokens) - at < t.needed:
+                seen.add(k)  # none of the template's tokens before this one is held
+                t = self.templates[k]
+                if left < t.needed:
                     continue
                 common = sum(x in held for x in t.tokens)
                 if common >= t.needed:
@@ -174,8 +198,9 @@ def scan_licenses(
     phrases: tuple[tuple[str, str], ...] = PHRASES,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     threshold: Fraction = Fraction(4, 5),
-    wrapped: bool = False,
-    telling: dict[str, set[bytes]] | None = None,
+    wrapped: bool = True,
+    names: dict[bytes, str] = NAMES,
+    variants: dict[str, dict[bytes, str]] = VARIANTS,
 ) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks, found).
 
@@ -183,13 +208,14 @@ def scan_licenses(
     (:func:`blocks`) of every whole text with every template of which it contains the share
     ``threshold`` of tokens or more, exactly: tokens are ordered by the number of texts they
     occur in, over all of ``docs``, and prefix, length and positional filters leave out only
-    blocks that cannot reach the threshold. ``labels`` has the base labels and those of the
-    templates met; score is the largest containment met, 1 where a phrase stands, else 0;
-    ``found`` lists (block number, label, containment).
+    blocks that cannot reach the threshold. ``found`` lists every such pair as (block number,
+    label, containment, meant). Licenses differ by single words, so a pair is ``meant`` only if
+    the block names what the template names: each of its tokens in ``names``, and the same
+    ``variants``. ``labels`` has the base labels and those that are meant; score is the largest
+    containment of these, 1 where a phrase stands, else 0; n_blocks counts their blocks.
 
     ``wrapped``: notices that go on over line ends (:func:`wrapped_runs`) are matched as well,
-    each at the block where it begins. ``telling``: a template that has tokens of its label's
-    set is met only by blocks that hold these.
+    each at the block where it begins.
 
     Null texts count as empty: no words, no labels (empty strings), score 0, first and last null.
     Equal rows get equal results; an empty table gives an empty one; other columns are not read.
@@ -198,59 +224,66 @@ def scan_licenses(
     counts = token_counts(docs, templates, text_col)
     matcher = Matcher(order_templates(templates, counts, threshold), sorted(counts, key=lambda w: (counts[w], w)))
     parts = [(words_of(p.encode()), label) for p, label in phrases]
-    needs = [(telling or {}).get(t.label, set()).intersection(t.tokens) for t in matcher.templates]
     longest = max((len(words_of(t.encode())) for _, t in templates), default=0)
-
-    def met(words: list[bytes]) -> list[tuple[int, float]]:
-        return [(k, share) for k, share in matcher.match(words) if needs[k].issubset(words)]
-
-    def wrapped_notices(text: bytes, lines: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-        best: list[tuple[int, int, float]] = []
+    needs = [names.keys() & set(t.tokens) for t in matcher.templates]
+    families = [{w: v for word, named in variants.items() if word.encode() in t.tokens for w, v in named.items()} for t in matcher.templates]
+    named = [{v for w, v in family.items() if w in t.tokens} for family, t in zip(families, matcher.templates)]
+
+    def met(words: list[bytes]) -> list[tuple[int, float, bool]]:
+        """Templates met by a block, their shares, and whether the block means them."""
+        return [
+            (k, share, needs[k].issubset(words) and {families[k][w] for w in families[k].keys() & set(words)} == named[k])
+            for k, share in matcher.match(words)
+        ]
+
+    def wrapped_notices(text: bytes, lines: list[tuple[int, int, float, bool]]) -> list[tuple[int, int, float, bool]]:
+        best: list[tuple[int, int, float, bool]] = []
         latest: dict[int, int] = {}
         for first, last, words in wrapped_runs(text, longest):
-            for k, share in met(words):
-                if any(t == k and first <= n <= last for n, t, _ in lines):
+            for k, share, meant in met(words):
+                if any(t == k and first <= n <= last for n, t, *_ in lines):
                     continue
                 if k in latest and best[latest[k]][0] <= last:  # the same notice, with more lines before it
-                    if share > best[latest[k]][2]:
-                        best[latest[k]] = (first, k, share)
+                    if (meant, share) > (best[latest[k]][3], best[latest[k]][2]):
+                        best[latest[k]] = (first, k, share, meant)
                     continue
                 latest[k] = len(best)
-                best.append((first, k, share))
+                best.append((first, k, share, meant))
         return best
 
     def scan(text: bytes) -> tuple:
         words = words_of(text)
         places = phrase_places(words, parts)
         base = {label for _, label in places}
-        found = []
+        found, true = [], []
         if not matcher.rare.isdisjoint(words):
             for number, block in enumerate(blocks(text)):
-                found += [(number, k, share) for k, share in met(words_of(block))]
+                found += [(number, *hit) for hit in met(words_of(block))]
             if wrapped:
                 found += wrapped_notices(text, found)
-            found = [(number, matcher.templates[k].label, share) for number, k, share in found]
+            found = [(number, matcher.templates[k].label, share, meant) for number, k, share, meant in found]
+        true = [f for f in found if f[3]]
         starts = [at for at, _ in places]
-        score = 1.0 if places else max((share for *_, share in found), default=0.0)
-        labels = base | {label for _, label, _ in found}
+        score = 1.0 if places else max((share for _, _, share, _ in true), default=0.0)
+        labels = base | {label for _, label, *_ in true}
         return (
             len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
-            score, len({n for n, *_ in found}), [{"block": n, "label": label, "share": share} for n, label, share in sorted(found)],
+            score, len({n for n, *_ in true}), [dict(zip(("block", "label", "share", "meant"), f)) for f in sorted(found)],
         )
 
-    hit = pa.list_(pa.struct([("block", pa.int64()), ("label", pa.string()), ("share", pa.float64())]))
+    hit = pa.list_(pa.struct([("block", pa.int64()), ("label", pa.string()), ("share", pa.float64()), ("meant", pa.bool_())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), hit]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks", "found"]
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [scan(t) for t in texts(batch, "t")]
-            columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, *names])
+            values = list(zip(*rows)) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(values, kinds))], [id_col, *columns])
 
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     return source.mapInArrow(
         run,
         f"`{id_col}` {source.schema['i'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, "
-        "base_labels string, labels string, score double, n_blocks long, found array<struct<block: long, label: string, share: double>>",
+        "base_labels string, labels string, score double, n_blocks long, found array<struct<block: long, label: string, share: double, meant: boolean>>",
     )

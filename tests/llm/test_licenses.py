@@ -1,12 +1,24 @@
+import os
 import random
 import re
 import textwrap
 
+import pytest
+
 from gleanery.llm import licenses
 
 SCHEMA = "doc_id long, text string, labels string, score int"
 
 
+def means(wanted, held):
+    marks = "mit apache mozilla bsd cc0 reserved unencumbered".split()
+    if any(m in wanted and m not in held for m in marks):
+        return False
+    kinds = {"gnu": ["lesser|library", "affero"], "cc": ["nc|noncommercial", "sa|sharealike", "nd|noderivatives|noderivs"]}
+    family = "gnu" if "gnu" in wanted else "cc" if wanted & {"cc", "commons"} else None
+    return all(bool(wanted & set(k.split("|"))) == bool(held & set(k.split("|"))) for k in kinds.get(family, ()))
+
+
 def brute(text):
     text = text or ""
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -19,17 +31,17 @@ def brute(text):
         for label, template in licenses.TEMPLATES:
             wanted = set(find(template.lower()))
             if len(wanted & held) / len(wanted) >= 0.8:
-                found.append((number, label, len(wanted & held) / len(wanted)))
+                found.append((number, label, len(wanted & held) / len(wanted), means(wanted, held)))
     starts = [i for i, _ in places]
     base = {label for _, label in places}
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
-        ",".join(sorted(base | {x[1] for x in found})), 1.0 if places else max((x[2] for x in found), default=0.0), sorted(found),
+        ",".join(sorted(base | {x[1] for x in found if x[3]})), 1.0 if places else max((x[2] for x in found if x[3]), default=0.0), sorted(found),
     )
 
 
 def check(spark, rows):
-    got = licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA), wrapped=False).collect()
     mine = sorted(
         ((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, [tuple(x) for x in r.found]) for r in got), key=str
     )
@@ -66,8 +78,8 @@ def test_odd_rows(spark):
 
 def labels(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = licenses.scan_licenses(docs, wrapped=True, telling=licenses.TELLING).collect()
-    return [[(x.block, x.label) for x in r.found] for r in sorted(found, key=lambda r: r.doc_id)]
+    found = licenses.scan_licenses(docs).collect()
+    return [[(x.block, x.label) for x in r.found if x.meant] for r in sorted(found, key=lambda r: r.doc_id)]
 
 
 def test_wrapped_notices_are_found_once(spark):
@@ -75,17 +87,49 @@ def test_wrapped_notices_are_found_once(spark):
     for label, notice in licenses.TEMPLATES:
         lines = textwrap.wrap(notice, max(20, min(72, len(notice) * 2 // 3)))
         texts.append("Some code here\n# Author\n\n" + "\n".join("# " + x for x in lines) + ".\n\nint main")
-        expected.append((3, label))
+        expected.append(label)
     texts += ["Licensed under the Apache License,\r\nVersion 2.0", "Licensed under the.\nApache License, Version 2.0", "licensed under\n\nApache License"]
     got = labels(spark, texts)
-    assert all(x.count(e) == 1 for x, e in zip(got, expected))
+    for found, label in zip(got, expected):
+        at = {n for n, x in found if x == label}
+        assert at and at <= {3, 4, 5}  # later where it is cut behind a semicolon
     assert got[-3:] == [[(0, "apache")], [], []]
 
 
 def test_notices_get_no_label_of_a_license_they_do_not_name(spark):
-    texts = [
-        "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0",
-        "Released under the X License", "Licensed under CC BY-SA 4.0", "Released under the MIT License", "licensed under the GNU Lesser General Public License",
-    ]
-    got = [{label for _, label in x} for x in labels(spark, texts)]
-    assert [x - {"cc-by"} for x in got] == [{"gpl"}, {"cc-by-nc"}, set(), set(), {"cc-by-sa"}, {"mit"}, {"lgpl"}]
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl"}, "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
+        "Licensed under CC BY 4.0": {"cc-by"}, "Released under the X License": set(), "Released under the license.": set(), "Licensed under CC BY-SA 4.0": {"cc-by-sa"},
+        "Released under the MIT License": {"mit"}, "licensed under the GNU Lesser General Public License": {"lgpl"}, "CC BY-NC-SA 4.0": {"cc-by-nc-sa"},
+        "licensed under the GNU Affero General Public License": {"agpl"}, "Licensed under the Apache License, Version 2.0 nd sa": {"apache"},
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": {"cc-by-nc"},
+    }
+    for found, (text, expected) in zip(labels(spark, texts), texts.items()):
+        assert {label for _, label in found} == expected, text
+
+
+def test_the_positional_filter_leaves_out_what_cannot_suffice():
+    """The block's first common token is the template's rarest but one, so too few can follow."""
+    template = licenses.Template("t", (b"a", b"b", b"c", b"d", b"e"), 4)
+    matcher = licenses.Matcher([template], [b"a", b"b", b"c", b"d", b"e"])
+    assert matcher.match([b"b", b"c", b"d"]) == [] and matcher.match([b"b", b"c", b"d", b"e"]) == [(0, 0.8)]
+
+
+TABLE = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="no test tables")
+def test_no_false_label_on_the_test_table(spark):
+    """A label of a variant only where the text names it; every notice of the table is found."""
+    needs = {"lgpl": "lesser", "agpl": "affero", "cc-by-nc": "nc", "cc-by-sa": "sa", "cc-by-nd": "nd", "cc-by-nc-sa": "nc", "cc-by-nc-nd": "nd", "mit": "mit", "apache": "apache"}
+    docs = spark.read.parquet(TABLE).select("doc_id", "text").where("text rlike '(?i)licen[sc]e|cc.by|rights'")
+    n = {"gpl": 0, "cc-by-nc": 0}
+    for r in licenses.scan_licenses(docs).join(docs, "doc_id").collect():
+        words = set(re.findall("[a-z0-9]+", r.text.lower()))
+        found = set(r.labels.split(",")) - {""}
+        assert all(needs.get(x, next(iter(words))) in words for x in found), (r.doc_id, r.labels)
+        for notice, label in (("licensed under the gnu general public license", "gpl"), ("cc by-nc 4.0", "cc-by-nc")):
+            if notice in r.text.lower():
+                n[label] += 1
+                assert label in found
+    assert n["gpl"] > 50 and n["cc-by-nc"] > 50
