@@ -1,4 +1,4 @@
-"""Exact set-similarity join of texts as sets of three-word shingles."""
+"""Exact similarity join of texts as sets of selected three-word shingles."""
 
 from __future__ import annotations
 
@@ -12,14 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import materialize, texts
+from gleanery.llm.common import materialize
 from gleanery.llm.components import connected_components
 from gleanery.storage import discard
 
-#: Share of all their shingles that two texts must have in common.
-JACCARD = Fraction(1, 2)
+#: Share of their selected shingles that two texts must have in common.
+JACCARD = Fraction(9, 20)
 SIZE = 3
-#: Texts of which the shingles are counted to order them, and how many counts are kept.
+#: Shingles that a text may have without any being left out; of more a half, a quarter ... is selected.
+TARGET = 128
+#: Sets of which the shingles are counted to order them, and how many counts are kept.
 SAMPLE, FREQUENT = 3_000, 1 << 17
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 62, SIZE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,32 +55,15 @@ def set_number(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def _sets(docs: DataFrame, text_col: str, bitmap: bytes | None = None, every: int = 1, then=None, kinds: str = "c long, s array<long>") -> DataFrame:
-    """(c, s), or what ``then`` makes of such batches: number and shingles of every text; of those in
-    the bit table, of one in ``every``. Copies that one task meets soon after each other count once."""
-    shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
+def level_of(n: int) -> int:
+    """How many halvings bring ``n`` shingles to ``TARGET`` or fewer. Sizes that differ by a factor
+    of two at most are one level apart at most."""
+    return max(0, (n - 1) // TARGET).bit_length()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
-        seen: set[int] = set()
-        table = None if shared is None else np.frombuffer(shared.value, np.uint8)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                numbers, rows = [], []
-                if len(seen) > 100_000:
-                    seen.clear()
-                for text in texts(whole.slice(at, 500), "t"):
-                    found = shingle_set(text, memo)
-                    c = set_number(found)
-                    b = c & (len(table) * 8 - 1) if table is not None else 0
-                    if len(found) and c % every == 0 and c not in seen and (table is None or table[b >> 3] >> (b & 7) & 1):
-                        seen.add(c)
-                        numbers.append(c)
-                        rows.append(found)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["c", "s"])
-
-    whole = run if then is None else lambda batches: then(run(batches))  # in one Python process
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(whole, kinds)
+
+def select(found: np.ndarray, level: int) -> np.ndarray:
+    """The shingles whose hash ends with ``level`` zero bits: the same ones in every text."""
+    return found[(found & ((1 << level) - 1)) == 0]
 
 
 def release(docs: DataFrame) -> None:
@@ -87,119 +72,125 @@ def release(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _postings(docs: DataFrame, text_col: str, jaccard: Fraction) -> DataFrame:
-    """(k, c, n, at): for every set c of n shingles the first n - ceil(t n) + 1 in one order, frequent
-    ones last, with their places; only shingles that more than one set has there. Sets that reach the
-    threshold t have one in common. The order, from a sample of texts, decides on the cost only."""
+def _postings(sets: DataFrame, jaccard: Fraction) -> DataFrame:
+    """(k, c, n, w, own, at): for every set, at its own level and at the next, the first
+    w - ceil(t w) + 1 of its w selected shingles in one order, frequent ones last, with their places;
+    only shingles that several sets have there. Sets that reach the threshold t have one in common.
+    The order, from a sample of the sets, decides on the cost only."""
     a, b = jaccard.numerator, jaccard.denominator
-    every = max(1, docs.count() // SAMPLE)
-    sample = _sets(docs, text_col, every=every).select(F.explode("s").alias("k"))
+    every = max(1, sets.count() // SAMPLE)
+    sample = sets.where(F.pmod("c", F.lit(every)) == 0).select(F.explode("s").alias("k"))
     counted = sample.groupBy("k").count().where("count > 1").orderBy(F.desc("count"), "k").limit(FREQUENT).toPandas().sort_values("k")
-    shared = docs.sparkSession.sparkContext.broadcast((counted["k"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)))
+    shared = sets.sparkSession.sparkContext.broadcast((counted["k"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in batches:
-            out = []
-            for c, values in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = values.values.to_numpy()
-                n = len(s)
-                often = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, counts[at], 0)
-                first = s[np.lexsort((s, often))[: n - -(-a * n // b) + 1]]
-                out.append((first, np.full(len(first), c), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "c", "n", "at"])
-
-    every_one = _sets(docs, text_col, then=prefixes, kinds="k long, c long, n int, at int").repartition("k")
-    several = every_one.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    return every_one.join(several.hint("shuffle_hash"), "k").groupBy("k", "c").agg(F.min("n").alias("n"), F.min("at").alias("at"))  # copies once
-
-
-def verified(met: DataFrame, docs: DataFrame, text_col: str, jaccard: Fraction, log_bits: int = 23) -> DataFrame:
-    """(u, v) of ``met`` whose whole sets reach the threshold, written to the shared folder."""
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                out = []
+                for c, n, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    own = level_of(n)
+                    for level in (own, own + 1):
+                        s = select(values.values.to_numpy(), level)
+                        w = len(s)
+                        often = np.zeros(w, np.int64)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                            often = np.where(known[at] == s, counts[at], 0)
+                        first = s[np.lexsort((s, often))[: w - -(-a * w // b) + 1]]
+                        m = len(first)
+                        key = (first.view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+                        numbers = (np.full(m, x, np.int32) for x in (n, w))
+                        out.append((key, np.full(m, c), *numbers, np.full(m, level == own), np.arange(m, dtype=np.int32)))
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.bool_, np.int32)
+                columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "c", "n", "w", "own", "at"])
+
+    posting = sets.select("c", "n", "s").mapInArrow(prefixes, "k long, c long, n int, w int, own boolean, at int")
+    posting = materialize(posting, "prefixes")
+    several = posting.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    found = materialize(posting.join(several, "k"), "postings")
+    discard(posting)
+    return found
+
+
+def verified(met: DataFrame, sets: DataFrame, jaccard: Fraction) -> DataFrame:
+    """(u, v) of ``met`` whose selected sets, at the higher of the two levels, reach the threshold,
+    written to the shared folder."""
     a, b = jaccard.numerator, jaccard.denominator
-    words = (  # 2 ** (log_bits - 6) rows at most
-        met.select(F.explode(F.array("u", "v")).alias("c"))
-        .select(F.col("c").bitwiseAND(F.lit((1 << log_bits) - 1)).alias("b"))
-        .groupBy(F.shiftright("b", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
-        .toPandas()
-    )
-    bitmap = np.zeros(1 << (log_bits - 6), np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    sets = materialize(_sets(docs, text_col, bitmap.tobytes()), "sets")
-    once = sets.dropDuplicates(["c"])
-    both = met.join(once.select(F.col("c").alias("u"), F.col("s").alias("x")), "u").join(once.select(F.col("c").alias("v"), F.col("s").alias("y")), "v")
+    for end in "uv":
+        met = met.join(sets.select(F.col("c").alias(end), F.col("n").alias(f"{end}n"), F.col("s").alias(f"{end}s")), end)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for un, vn, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                level = level_of(max(un, vn))
+                x, y = select(x.values.to_numpy(), level), select(y.values.to_numpy(), level)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(b * common >= a * (len(x) + len(y) - common))
+                good.append(common > 0 and b * common >= a * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    found = materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"), "linked")
-    discard(sets)
-    release(docs)
+    found = materialize(met.select("u", "v", "un", "vn", "us", "vs").mapInArrow(verify, "u long, v long"), "linked")
+    release(sets)
     return found
 
 
-def linked_sets(docs: DataFrame, links: DataFrame, text_col: str = "text", jaccard: Fraction = JACCARD, stars: int = 2) -> DataFrame:
-    """(node, component): the components of the texts' sets of shingles (by number) under links
-    between sets with a Jaccard of ``jaccard`` or more, and those given as ``links`` (u, v);
-    complete, up to equal 64-bit hashes of different shingles. Sets without a link have no row.
+def linked_sets(sets: DataFrame, links: DataFrame, jaccard: Fraction = JACCARD, stars: int = 4) -> DataFrame:
+    """(node, component): the components of sets of shingles under links between similar sets, and
+    those given as ``links`` (u, v). Sets without a link have no row.
+
+    ``sets`` has one row per set: its number c, its size n and s, those of its shingles that
+    :func:`select` leaves at its level. Two sets are similar if neither is more than twice as
+    large as the other and their selected shingles, at the higher of their levels, have a
+    Jaccard of ``jaccard`` or more. Every such link counts.
 
     Sets are compared by the prefix filter (:func:`_postings`), but not all pairs of a group are:
-    first each set meets one representative per shingle, and keeps the one with which it has
-    most in common, ``stars`` times over with other representatives; links that hold merge
-    groups, however large, at a cost in proportion to their size. Then only pairs of different
-    components remain. For these the search is exhaustive, under length and positional
-    filters: a pair shares at most what is left of either set from the first common shingle on,
-    and at most the common ones of both prefixes and, behind the last of them, what is left of one
-    set and lies beyond the other's prefix; where that could suffice, whole sets are compared.
+    first each set meets one representative per shingle, and is compared with the ``stars`` ones
+    with which it has most in common; links that hold merge groups at a cost in proportion to
+    their size. Then only pairs of different components remain. For these the search is
+    exhaustive, under length and positional filters: a pair shares at most what is left of either
+    set from the first common shingle on, and at most the common ones of both prefixes and, behind
+    the last of them, what is left of one set and lies beyond the other's prefix; where that could
+    suffice, the sets are compared.
     """
     a, b = jaccard.numerator, jaccard.denominator
-    posting = materialize(_postings(docs, text_col, jaccard), "postings")
-    release(docs)
+    posting = _postings(sets, jaccard)
+    release(sets)
     links = links.select("u", "v")
-    fits = f"{b}L * least(un, vn) >= {a}L * greatest(un, vn)"
+    fits = f"(uown or vown) and 2L * least(un, vn) >= greatest(un, vn) and {b}L * least(uw, vw) >= {a}L * greatest(uw, vw)"
 
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        """The components so far, and the postings with theirs: of shingles in several components only."""
+    def labelled() -> DataFrame:
+        """The postings with the components so far, of shingles in several components only."""
         groups = connected_components(links)
-        rows = posting.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
-        rows = rows.select("k", "c", "n", "at", "g").repartition("k")
+        rows = posting.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
         several = rows.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("k")
-        return groups, rows.join(several.hint("shuffle_hash"), "k")
-
-    for turn in range(stars):
-        _, rows = labelled()
-        rows = materialize(rows, "rows")
-        order = F.xxhash64("c", F.lit(turn))
-        first = rows.groupBy("k").agg(F.min_by(F.struct("c", "n", "g"), order).alias("r")).select("k", "r.c", "r.n", "r.g").toDF("k", "u", "un", "ug")
-        met = rows.withColumnsRenamed({"c": "v", "n": "vn"}).join(first, "k").where(f"ug <> g and {fits}").groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
-        best = materialize(met.groupBy("v").agg(F.max_by("u", F.struct("m", "u")).alias("u")).select("u", "v"), "met")
-        links = materialize(links.unionByName(verified(best, docs, text_col, jaccard)), "links")
+        return materialize(rows.join(several, "k"), "rows")
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.withColumnsRenamed({"c": x, **{y: x + y for y in ("n", "w", "own", "at", "g")}})
+
+    if stars:
+        rows = labelled()
+        first = rows.groupBy("k").agg(F.min_by(F.struct("c", "n", "w", "own", "at", "g"), F.xxhash64("c")).alias("r")).select("k", "r.*")
+        met = side(rows, "v").join(side(first, "u"), "k").where(f"ug <> vg and {fits}").groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
+        best = met.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "u")), False), 1, stars).alias("b"))  # a shingle each
+        best = materialize(best.select("v", F.explode("b.u").alias("u")).select("u", "v"), "met")
+        links = materialize(links.unionByName(verified(best, sets, jaccard)), "links")
         discard(best)
         discard(rows)
 
-    groups, rows = labelled()
-    rows = materialize(rows, "rows")
+    rows = labelled()
     group = rows.select("k", "g").distinct()
     across = group.withColumnRenamed("g", "ug").join(group.withColumnRenamed("g", "vg"), "k").where("ug < vg")
-    u, v = (rows.withColumnsRenamed({"c": x, "n": x + "n", "at": x + "a", "g": x + "g"}) for x in "uv")
-    met = across.join(u, ["k", "ug"]).join(v, ["k", "vg"]).where(fits)
+    met = across.join(side(rows, "u"), ["k", "ug"]).join(side(rows, "v"), ["k", "vg"]).where(fits)
     swap = F.col("u") > F.col("v")
-    met = met.select(*(F.when(swap, F.col(y + z)).otherwise(F.col(x + z)).alias(x + z) for x, y in ("uv", "vu") for z in ("", "n", "a")))
-    met = met.groupBy("u", "v", "un", "vn").agg(F.count(F.lit(1)).alias("m"), *(f(x + "a").alias(x + y) for x in "uv" for f, y in ((F.min, "f"), (F.max, "l"))))
-    rest = lambda x, y: f"least(({a}L * {x}n + {b - 1}) div {b} - 1, {y}n - {y}l - 1)"
-    most = f"least(un - uf, vn - vf, m + greatest({rest('u', 'v')}, {rest('v', 'u')}))"
-    met = materialize(met.where(f"{a + b}L * {most} >= {a}L * (un + vn)").select("u", "v"), "met")
+    met = met.select(*(F.when(swap, F.col(y + z)).otherwise(F.col(x + z)).alias(x + z) for x, y in ("uv", "vu") for z in ("", "w", "at")))
+    met = met.groupBy("u", "v", "uw", "vw").agg(F.count(F.lit(1)).alias("m"), *(f(x + "at").alias(x + y) for x in "uv" for f, y in ((F.min, "f"), (F.max, "l"))))
+    rest = lambda x, y: f"least(({a}L * {x}w + {b - 1}) div {b} - 1, {y}w - {y}l - 1)"
+    most = f"least(uw - uf, vw - vf, m + greatest({rest('u', 'v')}, {rest('v', 'u')}))"
+    met = materialize(met.where(f"{a + b}L * {most} >= {a}L * (uw + vw)").select("u", "v"), "met")
     discard(rows)
     discard(posting)
-    return connected_components(links.unionByName(verified(met, docs, text_col, jaccard)))
+    return connected_components(links.unionByName(verified(met, sets, jaccard)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import golay
 from gleanery.llm.common import materialize, same, texts
 from gleanery.llm.components import connected_components
-from gleanery.llm.setjoin import Memo, linked_sets, set_number, shingle_set
+from gleanery.llm.setjoin import Memo, level_of, linked_sets, select, set_number, shingle_set
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -51,7 +51,7 @@ def fingerprints(
     with_sets: bool = False,
 ) -> DataFrame:
     """(id, f0): one row per row of ``docs``, the fingerprint as a signed 64-bit number; ``with_sets``:
-    and s, the number of its set of shingles.
+    and c, n, s: number, size and selected shingles (:mod:`setjoin`) of its set of shingles.
 
     A null text counts as empty and has the fingerprint zero. Other columns are not read.
     """
@@ -65,12 +65,14 @@ def fingerprints(
                 prints = np.array([fingerprint(features(t)) for t in found], np.uint64).astype(np.int64)
                 columns = [batch.column(0), pa.array(prints)]
                 if with_sets:
-                    columns.append(pa.array([set_number(shingle_set(t, memo)) for t in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "f0", "s"][: len(columns)])
+                    sets = [shingle_set(t, memo) for t in found]
+                    columns += [pa.array([set_number(x) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int32(), size=len(sets))]
+                    columns.append(pa.array([select(x, level_of(len(x))) for x in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "f0", "c", "n", "s"][: len(columns)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, f0 long" + ", s long" * with_sets)
+    return source.mapInArrow(run, f"id {kind}, f0 long" + ", c long, n int, s array<long>" * with_sets)
 
 
 # ---------------------------------------------------------------- keys
@@ -180,11 +182,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Rows are linked where their fingerprints differ in 2 bits or fewer (:func:`near_pairs`), and,
-    since a text with one word in ten replaced is farther than that, where their sets of
-    three-word shingles have a Jaccard of ``setjoin.JACCARD`` or more (:func:`setjoin.linked_sets`).
-    Both searches are complete, so the result does not depend on keys, samples or the size of the
-    table. Links are made between different fingerprints and different sets, which the rows then
-    belong to; how many rows a row is linked with is not worked out.
+    since a text with one word in ten replaced is farther than that, where one text has at most
+    twice as many three-word shingles as the other and those selected have a Jaccard of
+    ``setjoin.JACCARD`` or more (:func:`setjoin.linked_sets`; of up to 128 shingles all are
+    selected). Both searches are complete. Links are made between different fingerprints and
+    different sets, which the rows then belong to; pairs within a group are not worked out.
 
     Documents without a word (null, empty or blank text) are no copies of each other and stay, and
     so do rows with a null id; of rows that repeat an id all stay or go together; the smallest of
@@ -193,15 +195,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
     found = materialize(fingerprints(worded, id_col, text_col, with_sets=True), "marked")
-    classes = materialize(found.groupBy("f0").agg(F.min("s").alias("s")), "classes")
-    alike = found.select("f0", "s").distinct().join(classes.withColumnRenamed("s", "c"), "f0").where("s <> c")
+    prints = found.select("f0", "c").distinct()
+    classes = materialize(prints.groupBy("f0").agg(F.min("c").alias("c"), F.max("c").alias("other")), "classes")
+    alike = prints.join(classes.where("c < other").select("f0", F.col("c").alias("u")), "f0").where("c <> u").select("u", F.col("c").alias("v"))
     near = near_pairs(classes)
     for end in "uv":
-        near = near.join(classes.select(F.col("f0").alias(end), F.col("s").alias(f"{end}s")), end)
-    links = near.select(F.col("us").alias("u"), F.col("vs").alias("v")).unionByName(alike.select(F.col("c").alias("u"), F.col("s").alias("v")))
-    groups = linked_sets(worded, materialize(links, "links"), text_col)
-    labelled = found.select("id", "s").join(groups.withColumnRenamed("node", "s"), "s", "left")
-    labelled = materialize(labelled.select("id", F.coalesce("component", "s").alias("component")), "labelled")
+        near = near.join(classes.select(F.col("f0").alias(end), F.col("c").alias(f"{end}c")), end)
+    links = materialize(alike.unionByName(near.select(F.col("uc").alias("u"), F.col("vc").alias("v"))), "links")
+    sets = materialize(found.groupBy("c").agg(F.first("n").alias("n"), F.first("s").alias("s")), "sets")
+    groups = linked_sets(sets, links)
+    labelled = found.select("id", "c").join(groups.withColumnRenamed("node", "c"), "c", "left")
+    labelled = materialize(labelled.select("id", F.coalesce("component", "c").alias("component")), "labelled")
     least = labelled.groupBy("component").agg(F.min("id").alias("least"))
     gone = labelled.join(least, "component").where("id <> least").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, same(docs[id_col], gone["_gone"]), "left_anti")

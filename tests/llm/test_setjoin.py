@@ -4,10 +4,18 @@ from fractions import Fraction
 from gleanery.llm import setjoin, simhash
 
 
-def brute(texts, t, links=()):
-    """The smallest node that each set reaches, from all pairs."""
-    sets = {setjoin.set_number(setjoin.shingle_set(x.encode())): frozenset(simhash.shingles(x.encode())) for x in texts}
-    pairs = {(u, v) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= t * len(sets[u] | sets[v])} | set(links)
+def similar(a, b, t):
+    """Sizes within a factor of two, and the Jaccard of the hashes that end with as many zeros as bring the larger set to 128."""
+    if 2 * min(len(a), len(b)) < max(len(a), len(b)):
+        return False
+    halvings = 0
+    while max(len(a), len(b)) > 128 << halvings:
+        halvings += 1
+    a, b = ({x for x in s if x % (1 << halvings) == 0} for s in (a, b))
+    return bool(a & b) and len(a & b) >= t * len(a | b)
+
+
+def components(nodes, pairs):
     least = {c: c for pair in pairs for c in pair}
     while True:
         moved = {c: min([least[c], *(least[d] for pair in pairs if c in pair for d in pair)]) for c in least}
@@ -16,36 +24,47 @@ def brute(texts, t, links=()):
         least = moved
 
 
+def rows_of(texts):
+    out = {}
+    for x in texts:
+        found = setjoin.shingle_set(x.encode())
+        out[setjoin.set_number(found)] = found
+    return [(c, len(f), setjoin.select(f, setjoin.level_of(len(f))).tolist()) for c, f in out.items()], {c: set(f.tolist()) for c, f in out.items()}
+
+
 def test_components_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = ["one", "one two", "Two one", "a b c", "a b c a b c"]
-    for _ in range(40):
-        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 40, 120]))]
-        texts += [" ".join(base)] * 3
-        for share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
+    for _ in range(24):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 40, 129, 300]))]
+        texts.append(" ".join(base))
+        for share in (0.02, 0.1, 0.15, 0.2, 0.3):
             texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base))
         texts.append(" ".join(base[: len(base) * 2 // 3]))
-    docs = spark.createDataFrame([(x,) for x in texts], "text string")
-    for t in (Fraction(1, 2), Fraction(4, 5)):
-        expected = brute(texts, t)
-        for stars in (0, 2):
-            got = {r.node: r.component for r in setjoin.linked_sets(docs, spark.createDataFrame([], "u long, v long"), jaccard=t, stars=stars).collect()}
-            assert got == expected and len(got) > 10
-    nodes = sorted(set(map(lambda x: setjoin.set_number(setjoin.shingle_set(x.encode())), texts)))
-    links = [(nodes[k], nodes[k + 9]) for k in range(0, len(nodes) - 9, 20)]
-    got = {r.node: r.component for r in setjoin.linked_sets(docs, spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == brute(texts, setjoin.JACCARD, links)
+    rows, sets = rows_of(texts)
+    table = spark.createDataFrame(rows, "c long, n int, s array<long>")
+    nodes = sorted(sets)
+    given = [(nodes[k], nodes[k + 9]) for k in range(0, len(nodes) - 9, 20)]
+    for t, stars, links in ((setjoin.JACCARD, 4, []), (Fraction(4, 5), 0, []), (setjoin.JACCARD, 0, given)):
+        pairs = {(u, v) for u in sets for v in sets if u < v and similar(sets[u], sets[v], t)}
+        got = {r.node: r.component for r in setjoin.linked_sets(table, spark.createDataFrame(links, "u long, v long"), t, stars).collect()}
+        assert got == components(nodes, pairs | set(links)) and len(got) > 20
+
+
+def test_levels():
+    assert [setjoin.level_of(n) for n in (0, 1, 128, 129, 256, 257, 512, 513)] == [0, 0, 0, 1, 1, 2, 2, 3]
+    assert all(setjoin.level_of(2 * n) - setjoin.level_of(n) <= 1 for n in range(1, 5000))
 
 
 def test_copies_at_the_very_threshold_are_dropped(spark):
-    """300 shingles each, 200 shared: Jaccard 1/2; and 199 shared, just below."""
+    """58 shingles each, 36 shared: Jaccard 9/20 exactly; and 35 shared, just below."""
     rows = []
-    for g in range(20):
+    for g in range(10):
         word = lambda k, g=g: f"w{g}x{k}"
-        base = [word(k) for k in range(302)]
+        base = [word(k) for k in range(60)]
         rows.append((g * 10, " ".join(base)))
-        rows.append((g * 10 + 1, " ".join([*base[:202], *(word(1000 + k) for k in range(100))])))
-        rows.append((g * 10 + 2, " ".join([*(word(2000 + k) for k in range(101)), *base[-201:]])))
+        rows.append((g * 10 + 1, " ".join([*base[:38], *(word(1000 + k) for k in range(22))])))
+        rows.append((g * 10 + 2, " ".join([*(word(2000 + k) for k in range(23)), *base[-37:]])))
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {g * 10 + k for g in range(20) for k in (0, 2)}
+    assert kept == {g * 10 + k for g in range(10) for k in (0, 2)}
