@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.storage import materialize, read_table, shared_dir, spread
+from gleanery.storage import discard, materialize, read_table, shared_dir, spread
 
-__all__ = ["crc_remainder", "materialize", "same", "shared_dir", "strings", "table", "texts"]
+__all__ = ["crc_remainder", "discard", "materialize", "same", "shared_dir", "strings", "table", "texts"]
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -1,4 +1,11 @@
+import os
 import random
+import re
+import time
+from html import unescape
+
+import pandas as pd
+import pytest
 
 from gleanery.llm import wrappers
 
@@ -56,6 +63,67 @@ def test_odd_pages(spark):
     assert wrappers.extract_articles(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+TABLE = "/root/testdata/sf0.1/pages.parquet"
+DISGUISES = {
+    "as they are": lambda h: h,
+    "no article element, an unknown class": lambda h: h.replace('class="ad"', 'class="q"').replace("<article>", "<div>").replace("</article>", "</div>"),
+    "nothing but div": lambda h: re.sub(r"<(/?)(?:nav|footer|article)>", r"<\1div>", h.replace('class="ad"', 'class="q"')),
+}
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="no test tables")
+@pytest.mark.parametrize("disguise", DISGUISES)
+def test_the_hosts_pages_tell_articles_from_furniture(spark, tmp_path, disguise):
+    """All pages of the test table, also when no name tells the article from menus, adverts and footers."""
+    table = pd.read_parquet(TABLE)
+    truth = {}
+    for i, html in zip(table.page_id, table.html):
+        inner = re.search(r"<article>(.*?)</article>", html, re.S).group(1)
+        parts = (" ".join(unescape(re.sub(r"<br>|</?b>", lambda m: " " * (m.group() == "<br>"), x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        truth[i] = "\n".join(x for x in parts if x)
+    table.assign(html=[DISGUISES[disguise](h) for h in table.html]).to_parquet(tmp_path / "pages.parquet")
+    got = wrappers.extract_articles(spark.read.parquet(f"{tmp_path}/pages.parquet").repartition(4)).collect()
+    assert len(got) == len(truth) and {r.page_id: r.text for r in got} == truth
+
+
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ('<p>one</p><svg class="i"/><p>two</p><p>three</p>', "one two three"),
+        ("<p>one</p><svg><text>x</text></svg><p>two</p>", "one two"),
+        ("<p>one <button>Press</p><p>two</p><select><option>a<option>b</select><p>three</p>", "one two three"),
+        ("<p>one <math><mi>x</mi></math></p><address>two</address><object>three</object>", "one x two three"),
+        ('<p class="alert">one</p><h2 id="search-algorithms">two</h2><div class="related-work"><p>three</p></div>', "one two three"),
+        ('<p>one</p><div class="comments"><p>a</p></div><form><p>b</p></form><aside>c</aside><nav>d</nav><div class="ad">e</div>', "one"),
+        ("<p>one</p>" + "<div>" * 400 + "two" + "</div>" * 400 + "<p>three</p>", "one two three"),
+        ("<p>1 &lt; 2 <3 &amp; 4</p><!-- a > b --><p>a<textarea><p>x</textarea>b<br>c</p>", "1 < 2 <3 & 4 ab c"),
+        ('<p title="a > b">one</p><p title=\'x>one</p><p>two</p>', "one one two"),
+    ],
+)
+def test_nothing_else_is_dropped(spark, inner, expected):
+    html = f'<html><body class="no-sidebar"><nav>menu</nav><article>{inner}</article><footer>end</footer></body></html>'
+    (got,) = wrappers.extract_articles(spark.createDataFrame([(1, "http://h/", html, None, None)], SCHEMA)).collect()
+    assert got.text.replace("\n", " ") == expected
+
+
+def test_broken_pages_take_time_in_proportion():
+    for html in ("<a " * 100_000, '<a "' * 100_000, "<a '>" * 100_000, "<div>" * 50_000, "<!--" * 100_000, "<p>x" * 50_000, "<svg>" * 50_000):
+        began = time.perf_counter()
+        wrappers.generalise(wrappers.parse(html)[0])
+        assert time.perf_counter() - began < 10, html[:8]
+
+
+def test_long_lists_of_unlike_elements_are_aligned():
+    rng = random.Random(4)
+    a = [f"k{i}" for i in range(20_000)]
+    b = [k for k in a if rng.random() < 0.9]
+    began = time.perf_counter()
+    found = wrappers._matches(a, b, 40_000)
+    assert time.perf_counter() - began < 10 and [b[j] for _, j in found] == b
+    small = [rng.choice("abcde") for _ in range(60)], [rng.choice("abcde") for _ in range(50)]
+    assert all(small[0][i] == small[1][j] for i, j in wrappers._matches(*small, 10)) and len(wrappers._longest(*small)) == len(wrappers._matches(*small, 10**6))
+
+
 def tree(html):
     return wrappers.generalise(wrappers.parse(html)[0])
 
