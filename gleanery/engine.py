@@ -113,19 +113,24 @@ class VectorEngine:
         return engine
 
     def index_docs(self, docs: DataFrame) -> None:
-        """Index (doc_id, embedding), or (doc_id, text) with a model; a repeated id is an error."""
+        """Index (doc_id, embedding), or (doc_id, text) with a model; a repeated id is an error. On disk
+        the documents are added to those of the index; in memory they replace what was there."""
         if "embedding" in docs.columns:
             found = docs.select("doc_id", "embedding")
         elif self.model is not None:
             found = vectors.embed(docs, self.model)
         else:
             raise ValueError("documents need an embedding column, or the engine a model")
-        if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        if self.path is not None and self.table is not None:
+            ids = self.table.select("doc_id").unionByName(found.select("doc_id"))
+        else:
+            ids = found
+        if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
             raise ValueError("document ids should be unique")
         if self.path is None:
             self.table = found.cache()
         else:
-            found.write.mode("overwrite").parquet(self.path)
+            found.write.mode("overwrite" if self.table is None else "append").parquet(self.path)
             self.table = self.spark.read.parquet(self.path)
 
     def search_vector(self, query: list[float], limit: int = 10) -> list[int]:

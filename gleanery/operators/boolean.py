@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.scoring import bm25
-from gleanery.operators.index import analysed, postings_of
+from gleanery.operators.index import Index, analysed, postings_of
 from gleanery.operators.search import with_totals
 from gleanery.plans import boolean
 from gleanery.plans.language import parse
 
 
-def boolean_search(docs: DataFrame, query: str, scored: bool = True, analyser: str = "alphabetic") -> DataFrame:
-    """(doc_id, score) of the documents that match; without ``scored`` only doc_id.
+def boolean_search(docs: DataFrame | Index, query: str, scored: bool = True, analyser: str = "alphabetic") -> DataFrame:
+    """(doc_id, score) of the documents, or of those of an index, that match; without ``scored`` only doc_id.
 
     The postings of the query's terms are brought together by document once, whatever the shape
     of the query; the plan becomes one expression for the match and one for the score. Stop
@@ -21,8 +21,12 @@ def boolean_search(docs: DataFrame, query: str, scored: bool = True, analyser: s
     """
     node = boolean.plan(parse(query))
     terms = boolean.leaf_terms(node)
-    found = analysed(docs, analyser).withColumn("key", F.monotonically_increasing_id())
-    postings = postings_of(found, ["key", "doc_id"], F.col("term").isin(*terms))
+    if isinstance(docs, Index):
+        found, key = docs.docs, ["segment_id", "seg_doc_id"]
+        postings = docs.postings_for(*terms)
+    else:
+        found, key = analysed(docs, analyser).withColumn("key", F.monotonically_increasing_id()), ["key", "doc_id"]
+        postings = postings_of(found, key, F.col("term").isin(*terms))
     places = {t: f"_t{i}" for i, t in enumerate(terms)}
     if scored:
         df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # the same shuffle, used again
@@ -34,9 +38,11 @@ def boolean_search(docs: DataFrame, query: str, scored: bool = True, analyser: s
     columns = []
     for t, name in places.items():
         columns += [F.max(F.col("term") == t).alias(name), F.max(F.when(F.col("term") == t, part)).alias(f"{name}s")]
-    rows = postings.groupBy("key", "doc_id").agg(*columns)
+    rows = postings.groupBy(*key).agg(*columns)
     has = {t: F.col(n) for t, n in places.items()}
     matching = rows.where(boolean.matched(node, has))
+    if isinstance(docs, Index):
+        matching = matching.join(docs.docs.select(*key, "doc_id"), key)
     if not scored:
         return matching.select("doc_id")
     return matching.select("doc_id", F.round(boolean.score(node, has, {t: F.col(f"{n}s") for t, n in places.items()}), 6).alias("score"))

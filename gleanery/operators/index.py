@@ -11,6 +11,7 @@ from gleanery.functions.text import ANALYSERS
 from gleanery.operators.numbering import with_row_number
 
 DEFAULT_SEGMENT_DOCS = 25_000
+POSTING = ("segment_id", "term", "seg_doc_id", "doc_len", "tf")
 TABLES = ("postings", "docs", "terms", "stats")
 
 
@@ -47,7 +48,7 @@ def postings_of(docs: DataFrame, keys: list[str], wanted: Column | None = None)
 class Index:
     """The tables of an index.
 
-    postings: segment_id, term, seg_doc_id, tf; docs: segment_id, seg_doc_id, doc_id, doc_len (rows
+    postings: segment_id, term, seg_doc_id, doc_len, tf; docs: segment_id, seg_doc_id, doc_id, doc_len (rows
     without a term too); terms: segment_id, term, df; stats: segment_id, indexed_docs,
     max_posting_list, terms_per_doc_avg.
     """
@@ -88,15 +89,15 @@ class Index:
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        schema = "term string, seg_doc_id int, tf int, segment_id int"
-        return Index(spark.read.schema(schema).parquet(f"{path}/postings").select("segment_id", "term", "seg_doc_id", "tf"), *(spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]))
+        schema = "term string, seg_doc_id int, doc_len int, tf int, segment_id int"
+        return Index(spark.read.schema(schema).parquet(f"{path}/postings").select(*POSTING), *(spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]))
 
 
 def build_index(docs: DataFrame, max_segment_docs: int | None = DEFAULT_SEGMENT_DOCS, analyser: str = "alphabetic") -> Index:
     """An index over (doc_id, text). Rows that share an id stay separate documents."""
     found = segmented(docs, max_segment_docs, analyser)
     keys = ["segment_id", "seg_doc_id"]
-    postings = postings_of(found, keys).select("segment_id", "term", "seg_doc_id", "tf")
+    postings = postings_of(found, keys).select(*POSTING)
     terms = term_dictionary(postings)
     table = found.select(*keys, "doc_id", "doc_len")
     return Index(postings, table, terms, segment_stats(table, terms))

@@ -79,20 +79,29 @@ def _summed(parts: DataFrame, words: DataFrame) -> DataFrame:
 def search_index(index: Index, queries: DataFrame, limit: int = 10, scorer: str = "bm25", stats: str = "global", stop_words: bool = True, analyser: str = "alphabetic") -> DataFrame:
     """(query_id, rank, doc_id, score) over an index.
 
+    A posting has its document's length, so documents are looked up for the best only.
     ``stats="segment"`` scores each segment by its own statistics, so scores depend on how the
     documents were split; "global" uses those of the whole index.
     """
     words = query_terms(queries, analyser, stop_words)
     keys = ["segment_id", "seg_doc_id"]
-    postings = index.postings.join(words.select("term").distinct(), "term", "left_semi").join(index.docs, keys)
+    postings = index.postings.join(words.select("term").distinct(), "term", "left_semi")
     if stats == "segment":
-        totals = index.stats.select("segment_id", F.col("indexed_docs").alias("n"), F.col("terms_per_doc_avg").alias("avgdl"))
-        scored = postings.join(index.terms, ["segment_id", "term"]).join(totals, "segment_id")
+        totals = index.docs.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
+        scored = postings.join(_df(postings, "segment_id", "term"), ["segment_id", "term"]).join(totals, "segment_id")
     elif stats == "global":
         totals = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
-        df = index.terms.groupBy("term").agg(F.sum("df").alias("df"))
-        scored = with_totals(postings.join(df, "term"), totals)
+        scored = with_totals(postings.join(_df(postings, "term"), "term"), totals)
     else:
         raise ValueError("stats is 'global' or 'segment'")
-    scored = scored.withColumn("key", F.struct(*keys)).withColumn("part", _score(scorer))
-    return rank(_summed(scored.select("term", "key", "doc_id", "part"), words), limit)
+    scored = scored.withColumn("key", F.struct(*keys)).withColumn("part", _score(scorer)).withColumn("doc_id", F.lit(None).cast("int"))
+    summed = _summed(scored.select("term", "key", "doc_id", "part"), words)
+    # the best of every query and those that tie with the last, by score alone, so that few documents are looked up
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    near = summed.withColumn("at", F.rank().over(best)).where(F.col("at") <= limit).select("query_id", "score", "key", "key.*")
+    return rank(near.join(index.docs.select(*keys, "doc_id"), keys), limit)
+
+
+def _df(postings: DataFrame, *by: str) -> DataFrame:
+    """Document frequencies from the postings that were asked for, which hold all of a term's."""
+    return postings.groupBy(*by).agg(F.count(F.lit(1)).alias("df"))

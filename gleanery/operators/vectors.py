@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,33 +22,36 @@ def l2(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 10, id_col: str = "vec_id") -> DataFrame:
     """(id, distance) of the ``limit`` nearest to one vector, by distance and id; a top-k per
-    partition, then one of those."""
+    partition, then one of those. Embeddings that are null, hold a null or have another width
+    than the query are near nothing."""
     point = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select(id_col, F.round(l2(F.col("embedding"), point), 6).alias("distance")).orderBy("distance", id_col).limit(limit)
+    measured = vectors.where(F.size("embedding") == len(query)).select(id_col, F.round(l2(F.col("embedding"), point), 6).alias("distance"))
+    return measured.where("distance is not null").orderBy("distance", id_col).limit(limit)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, id_col: str = "vec_id", block: int = 256) -> DataFrame:
+def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, id_col: str = "vec_id", block_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, rank, id, distance): the ``limit`` nearest of every query (query_id, embedding).
 
-    The queries are taken in blocks of ``block`` vectors to the executors; each task keeps the best
-    of its rows for each query, so a query sends a limit's worth of rows per partition, and all
-    vectors are compared with all queries.
+    The queries are taken to the executors in blocks of ``block_bytes`` at most, one scan of the
+    vectors for each block (so one for half a million queries of 16 numbers); each task keeps the
+    best of its rows for each query, so a query sends a limit's worth of rows per partition, and
+    all vectors are compared with all queries. Embeddings that are null, hold a null or have
+    another width than the query are near nothing, and queries without an embedding have no row.
     """
     if limit < 1:
         raise ValueError("limit is one at least")
-    source = vectors.select(F.col(id_col).alias("id"), "embedding")
+    full = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    source = vectors.where(full).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     kinds = (queries.schema["query_id"].dataType.simpleString(), source.schema["id"].dataType.simpleString())
+    name_kind = to_arrow_type(queries.schema["query_id"].dataType)
     parts = []
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    while True:
-        taken = [r for _, r in zip(range(block), rows)]
-        if not taken:
-            break
-        names = [r.query_id for r in taken]
-        matrix = np.array([r.embedding for r in taken], np.float64)
-        parts.append(source.mapInArrow(_best_of(names, to_arrow_type(queries.schema["query_id"].dataType), matrix, limit), f"query_id {kinds[0]}, id {kinds[1]}, distance double"))
-        if len(taken) < block:
-            break
+    asked = queries.where(full).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    for width in sorted(r[0] for r in asked.select(F.size("embedding")).distinct().collect()):
+        rows = asked.where(F.size("embedding") == width).toLocalIterator()
+        while taken := list(islice(rows, max(1, block_bytes // (8 * max(1, width))))):
+            matrix = vectors.sparkSession.sparkContext.broadcast(np.array([r.embedding for r in taken], np.float64).reshape(len(taken), width))
+            best = _best_of([r.query_id for r in taken], name_kind, matrix, limit)
+            parts.append(source.where(F.size("embedding") == width).mapInArrow(best, f"query_id {kinds[0]}, id {kinds[1]}, distance double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, rank int, {id_col} {kinds[1]}, distance double")
     found = parts[0]
@@ -58,22 +62,27 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, id_co
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
-def _best_of(names: list, name_kind: pa.DataType, matrix: np.ndarray, limit: int) -> Callable:
+def _best_of(names: list, name_kind: pa.DataType, shared, limit: int, tile: int = 64) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
         best: list[list] = [[] for _ in names]
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             ids = np.array(batch.column(0).to_pylist(), object)
-            width = matrix.shape[1]
-            points = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+            points = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), matrix.shape[1])
             for low in range(0, len(points), 512):
                 part = points[low : low + 512]
-                gaps = np.round(np.sqrt(((part[None] - matrix[:, None]) ** 2).sum(-1)), 6)
-                for q, row in enumerate(gaps):
-                    near = np.argsort(row, kind="stable")
-                    edge = row[near[min(limit, len(near)) - 1]]
-                    best[q] = sorted(best[q] + [(float(row[k]), ids[low + k]) for k in near if row[k] <= edge])[:limit]
+                for first in range(0, len(matrix), tile):
+                    gaps = np.round(np.sqrt(((part[None] - matrix[first : first + tile, None]) ** 2).sum(-1)), 6)
+                    edges = np.partition(gaps, min(limit, len(part)) - 1, axis=1)[:, min(limit, len(part)) - 1]
+                    for q, row in enumerate(gaps, first):
+                        edge = edges[q - first]
+                        if len(best[q]) == limit:
+                            edge = min(edge, best[q][-1][0])
+                        near = np.nonzero(row <= edge)[0]
+                        if len(near):
+                            best[q] = sorted(best[q] + [(float(row[k]), ids[low + k]) for k in near])[:limit]
         rows = [(names[q], i, d) for q, found in enumerate(best) for d, i in found]
         if rows:
             columns = list(zip(*rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from gleanery.operators import boolean, codec, evaluation, index, search, sets,
 from gleanery.plans import boolean as plans
 from gleanery.plans.language import parse
 from gleanery.storage import read_table as _table
-from gleanery.storage import spread
+from gleanery.storage import shared_dir, spread
 
 SINGLE = "tion shing the erble, and thati."
 REPEATED = "erin erin thble of ouing ERIN"
@@ -24,6 +26,7 @@ BOOLEAN = {
     "bool_or_of_and": "(erble AND shing) OR ouing",
     "bool_nested": "tion AND ((erble AND NOT shing) OR ouing)",
 }
+_stored_at: dict[tuple, str] = {}
 VECTOR_QUERY = 0  # the vector that knn_l2 takes as its query
 
 
@@ -103,6 +106,41 @@ def search_bm25_per_segment(spark, sf_dir):
     return search.search_index(found, _query(spark, SINGLE), stats="segment").select("rank", "doc_id", "score")
 
 
+def _stored(spark, sf_dir, max_segment_docs=SEGMENT):
+    """An index of the documents, written to the shared folder in two steps (once for an application)
+    and opened again."""
+    key = (spark.sparkContext.applicationId, sf_dir, max_segment_docs)
+    if key not in _stored_at:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        docs = _docs(spark, sf_dir)
+        index.build_index(docs.where("doc_id % 3 <> 0"), max_segment_docs).write(path)
+        index.build_index(docs.where("doc_id % 3 = 0"), max_segment_docs).write(path, "append")
+        _stored_at[key] = path
+    return index.Index.open(spark, _stored_at[key])
+
+
+def stored_search_single(spark, sf_dir):
+    return search.search_index(_stored(spark, sf_dir), _query(spark, SINGLE)).select("rank", "doc_id", "score")
+
+
+def stored_search_batch(spark, sf_dir):
+    return search.search_index(_stored(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def stored_search_tfidf(spark, sf_dir):
+    return search.search_index(_stored(spark, sf_dir), _query(spark, SINGLE), scorer="tfidf").select("rank", "doc_id", "score")
+
+
+def stored_bool_nested(spark, sf_dir):
+    return boolean.boolean_search(_stored(spark, sf_dir), BOOLEAN["bool_nested"])
+
+
+def stored_postings(spark, sf_dir):
+    """The posting lists of two terms, with the documents that they stand for."""
+    found = _stored(spark, sf_dir)
+    return found.postings_for("erble", "shing").join(found.docs, ["segment_id", "seg_doc_id", "doc_len"]).select("term", "doc_id", "doc_len", "tf")
+
+
 def _boolean(query):
     return lambda spark, sf_dir: boolean.boolean_search(_docs(spark, sf_dir), query)
 
@@ -233,6 +271,7 @@ QUERIES = {
     for f in (
         search_bm25_batch, tokenize_terms, stop_word_filter, doc_lengths, term_postings, term_dictionary, corpus_stats, segment_stats,
         segment_doc_ids, posting_block_stats, search_bm25_single, search_bm25_repeated_term, search_tfidf, search_bm25_per_segment,
+        stored_search_single, stored_search_batch, stored_search_tfidf, stored_bool_nested, stored_postings,
         collect_count, collect_top, set_intersect, set_union, set_exclude, set_seek, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
         knn_batch, explain_tree, parse_id, wikitext_strip, codec_round_trip,
     )
@@ -348,6 +387,11 @@ ORACLES = {
     "search_bm25_repeated_term": _with(_TOK, _one(REPEATED), _ranked(_BM25)) + "select rank, doc_id, score from ranked",
     "search_tfidf": _with(_TOK, _one(SINGLE), _ranked(_TFIDF)) + "select rank, doc_id, score from ranked",
     "search_bm25_batch": _with(_TOK, _asked(_ITEMS), _ranked(_BM25)) + "select query_id, rank, doc_id, score from ranked",
+    "stored_search_single": _with(_TOK, _one(SINGLE), _ranked(_BM25)) + "select rank, doc_id, score from ranked",
+    "stored_search_batch": _with(_TOK, _asked(_ITEMS), _ranked(_BM25)) + "select query_id, rank, doc_id, score from ranked",
+    "stored_search_tfidf": _with(_TOK, _one(SINGLE), _ranked(_TFIDF)) + "select rank, doc_id, score from ranked",
+    "stored_bool_nested": _LEAVES + _OUT + _NESTED,
+    "stored_postings": _with(_TOK) + "select term, doc_id, doc_len, tf from post join dl using (doc_id) where term in ('erble', 'shing')",
     "search_bm25_per_segment": _with(_TOK, _SEG, _one(SINGLE))
     + f"""select rank, doc_id, score from (select *, row_number() over (order by score desc, doc_id)::int as rank from (
       select doc_id, round(sum(times * ({_BM25})), 6) as score from (

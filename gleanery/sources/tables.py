@@ -99,10 +99,13 @@ def beir_queries_parquet(spark: SparkSession, qrels: DataFrame, *paths: str) ->
 
 
 def beir_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, relevance): header left out, relevance above zero, the last of repeats."""
+    """(query_id, doc_id, relevance): header left out, relevance above zero, the last of repeats. A line
+    with fewer than three fields, or whose relevance is no number, is an error."""
     rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    rows = rows.where((F.col("_at") > 0) & (F.size("p") >= 3) & (F.col("value") != ""))
-    found = rows.select(parse_id_column(F.col("p")[0]).alias("query_id"), parse_id_column(F.col("p")[1]).alias("doc_id"), F.col("p")[2].cast("double").alias("relevance"), "_at")
+    rows = rows.where((F.col("_at") > 0) & (F.trim("value") != ""))
+    grade = F.get("p", F.lit(2)).try_cast("double")
+    problem = F.raise_error(F.concat(F.lit("a judgment should have a query, a document and a number: "), F.col("value"))).cast("double")
+    found = rows.select(parse_id_column(F.col("p")[0]).alias("query_id"), parse_id_column(F.col("p")[1]).alias("doc_id"), F.coalesce(grade, problem).alias("relevance"), "_at")
     return found.where("relevance > 0").groupBy("query_id", "doc_id").agg(F.max_by("relevance", "_at").alias("relevance"))
 
 
@@ -205,6 +208,11 @@ def wiki_docs(spark: SparkSession, path: str) -> DataFrame:
     return with_row_number(pages, "page", "doc_id").select("doc_id", "text")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def dataset(spark: SparkSession, name: str, folder: str) -> Dataset:
     """A collection by name: cisi, enwiki, simplewiki, enwiki_json, nfcorpus, scifact, beir_*; the
     files lie in ``folder``."""
@@ -215,7 +223,7 @@ def dataset(spark: SparkSession, name: str, folder: str) -> Dataset:
     if name == "enwiki_json":
         return Dataset(json_docs(spark, folder))
     if name in ("nfcorpus", "scifact") or name.startswith("beir_"):
-        return beir(spark, folder, parquet=not os.path.exists(f"{folder}/corpus.jsonl"))
+        return beir(spark, folder, parquet=not _exists(spark, f"{folder}/corpus.jsonl"))
     raise ValueError(f"unknown dataset {name!r}")
 
 

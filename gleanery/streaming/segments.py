@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.operators.index import DEFAULT_SEGMENT_DOCS, TABLES, build_index
 
-STRIDE = 1 << 16
+STRIDE = 1 << 32
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, max_segment_docs: int = DEFAULT_SEGMENT_DOCS, trigger: dict | None = None) -> StreamingQuery:
@@ -22,7 +22,7 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, max_segment_docs:
     def write(batch: DataFrame, number: int) -> None:
         built = build_index(batch, max_segment_docs)
         for name in TABLES:
-            table = getattr(built, name).withColumn("segment_id", F.col("segment_id") + F.lit(number * STRIDE))
+            table = getattr(built, name).withColumn("segment_id", F.col("segment_id").cast("long") + F.lit(number * STRIDE).cast("long"))
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery import cli, engine
 from gleanery.functions import scoring
-from gleanery.operators import boolean, evaluation, index, numbering, search
+from gleanery.operators import boolean, evaluation, index, numbering, search, vectors
 from gleanery.streaming import segments
 
 TOY = list(enumerate(["cat", "dog", "mouse", "cat dog", "dog mouse", "cat mouse", "cat mouse cat"]))
@@ -230,3 +230,29 @@ def test_command_line(spark, tmp_path):
     lines = cli.main([*base, "eval"], spark)
     assert lines[1] == "queries count: 2" and lines[3].startswith("Recall    @10:  avg=1.000")
     assert cli.main([*base, "search", "--query-number", "1"], spark)[-1] == "found: [1, 3, 4]"
+
+
+def test_vectors_without_an_embedding_are_near_nothing(spark):
+    rows = [(2, None), (1, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [5.0, 5.0]), (5, [None, 1.0]), (6, [5.0]), (7, [5.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([("a", [5.0, 5.0]), ("b", None), ("c", [4.0])], "query_id string, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in vectors.nearest_batch(table, queries, 4).collect())
+    assert got == [("a", 1, 4, 0.0), ("a", 2, 7, 0.0), ("a", 3, 3, 5.656854), ("a", 4, 1, 7.071068), ("c", 1, 6, 1.0)]
+    assert sorted(got) == sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in vectors.nearest_batch(table, queries, 4, block_bytes=8).collect())
+    assert [r.vec_id for r in vectors.nearest(table, [5.0, 5.0], 10).collect()] == [4, 7, 3, 1]
+
+
+def test_indexing_again_adds_vectors(spark, tmp_path):
+    made = engine.VectorEngine.create_on_disk(spark, str(tmp_path / "v"))
+    for ids in ((1, 2), (3,)):
+        made.index_docs(spark.createDataFrame([(i, [float(i)]) for i in ids], "doc_id long, embedding array<float>"))
+    assert engine.VectorEngine.open_from_disk(spark, str(tmp_path / "v")).search_vector([0.0]) == [1, 2, 3]
+    with pytest.raises(ValueError, match="unique"):
+        made.index_docs(spark.createDataFrame([(3, [3.0])], "doc_id long, embedding array<float>"))
+
+
+def test_boolean_search_over_an_index(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "red hen", "fox hen", "red fox hen"])], "doc_id long, text string")
+    for query in ("red AND NOT hen", "fox OR hen", "red AND (fox OR hen)"):
+        expected = sorted(boolean.boolean_search(docs, query).collect())
+        assert sorted(boolean.boolean_search(index.build_index(docs, 2), query).collect()) == expected and expected

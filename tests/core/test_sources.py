@@ -151,3 +151,10 @@ def test_lines(spark, tmp_path):
 def test_registry(spark):
     with pytest.raises(ValueError, match="unknown dataset"):
         tables.dataset(spark, "other", "/nowhere")
+
+
+@pytest.mark.parametrize("line", ["1\t2", "1", "1\t2\tmany"])
+def test_a_broken_judgment_is_an_error(spark, tmp_path, line):
+    (tmp_path / "test.tsv").write_text(f"query-id\tcorpus-id\tscore\n1\t2\t1\n{line}\n\n")
+    with pytest.raises(Exception, match="a judgment should have"):
+        tables.beir_qrels(spark, str(tmp_path / "test.tsv")).collect()
