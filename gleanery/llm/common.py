@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.storage import discard, materialize, read_table, shared_dir, spread
 
-__all__ = ["crc_remainder", "discard", "materialize", "same", "shared_dir", "strings", "table", "texts"]
+__all__ = ["crc_remainder", "discard", "materialize", "same", "shared_dir", "slices", "strings", "table", "texts"]
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -17,6 +19,13 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that few texts are in memory at once."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, size):
+            yield whole.slice(low, size)
+
+
 def strings(values: list[bytes | None]) -> pa.Array:
     """Texts from their bytes, which need not be valid UTF-8."""
     return pa.array(values, pa.binary()).view(pa.string())

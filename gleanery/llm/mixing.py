@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import materialize, same, texts
+from gleanery.llm.common import materialize, same, slices, texts
 
 BUCKETS = 4096
 
@@ -26,18 +26,18 @@ def plainness(data: bytes) -> float:
     return max(0.1, 1.0 - 2.0 * marks / len(data.decode("utf-8", "surrogateescape")))
 
 
-def measured(rows: DataFrame) -> DataFrame:
+def measured(rows: DataFrame, weigh: Callable[[list[bytes]], Iterable[float]] | None = None) -> DataFrame:
     """``rows`` (whose last column is a text) with the text replaced by size and plain: the number of
-    runs of characters other than ASCII white space, 0 for null, and the :func:`plainness`."""
+    runs of characters other than ASCII white space, 0 for null, and a quality weight of the text
+    (none given: its :func:`plainness`)."""
+    weigh = weigh or (lambda found: map(plainness, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                found = texts(batch, batch.schema.names[-1])
-                size = pa.array([len(t.split()) for t in found], pa.int64())
-                plain = pa.array([plainness(t) for t in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, plain], [*batch.schema.names[:-1], "size", "plain"])
+        for batch in slices(batches):
+            found = texts(batch, batch.schema.names[-1])
+            size = pa.array([len(t.split()) for t in found], pa.int64())
+            plain = pa.array([float(w) for w in weigh(found)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, plain], [*batch.schema.names[:-1], "size", "plain"])
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("size", T.LongType()), T.StructField("plain", T.DoubleType())])
     return rows.mapInArrow(run, schema)
@@ -136,6 +136,7 @@ def mix_sources(
     repeats: int = 3,
     seed: str = "mix",
     keep: tuple[str, ...] = (),
+    weigh: Callable[[list[bytes]], Iterable[float]] | None = None,
 ) -> DataFrame:
     """id, source, ``keep`` columns, size, source_size, target, copies, taken: one row per document.
 
@@ -143,8 +144,8 @@ def mix_sources(
     than once add up, and a source without a positive weight gets nothing. All words together are shared out by weight; a target stops at
     ``repeats`` times its source's size, and what is over goes to the others by weight. A source
     gives complete epochs first; the fractional rest goes to the documents with the smallest
-    exponential keys, scaled by the positive weights in ``quality_col`` (null: 1; none named: the
-    texts' :func:`plainness`), as long as the middle of the document is within the budget. So a source misses its target by
+    exponential keys, scaled by the positive weights in ``quality_col`` (null: 1), else by what
+    ``weigh`` makes of the texts, else by their :func:`plainness`, as long as the middle of the document is within the budget. So a source misses its target by
     half a document at most.
 
     Null and empty texts have size 0 and are taken 0 words. Rows that share a source, an id (null
@@ -162,7 +163,8 @@ def mix_sources(
             given.alias("given"),
             *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)),
             F.col(text_col).cast("string").alias("t"),
-        )
+        ),
+        weigh,
     ).withColumn("key", exponential_key(F.col("id"), F.coalesce("given", "plain"), seed))
     sizes = materialize(weighed.select("s", "id", "size", "key"), "sizes")
     plan = materialize(mix_plan(sizes, weights, repeats), "plan").withColumnRenamed("s", "_s")

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleanery.llm.common import crc_remainder, texts
+from gleanery.llm.common import crc_remainder, slices, texts
 from gleanery.llm.gam import Gam, fit
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -88,7 +87,7 @@ def fit_quality(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = _matrix(batch, "t")
             columns = [pa.array(x[:, k]) for k in range(x.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["i", *FEATURES, "y"])
@@ -104,7 +103,7 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     a text whose measures are all zero. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch, "t")))], [id_col, "score"])
 
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -115,24 +114,15 @@ def keep_quality(docs: DataFrame, model: Gam, threshold: float = 0.3, text_col:
     """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(model.score(_matrix(batch, text_col)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def add_quality(docs: DataFrame, model: Gam, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the score of every row as another column, which must be a new one (ValueError)."""
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                yield batch.append_column(name, pa.array(model.score(_matrix(batch, text_col))))
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+def scorer(model: Gam) -> Callable[[list[bytes]], np.ndarray]:
+    """The scores of some texts, as a function for the tasks of other operators."""
+    return lambda found: model.score(np.array([measures(t) for t in found], np.float64).reshape(-1, len(FEATURES)))
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:

@@ -77,8 +77,12 @@ def test_cyclic_weights(spark):
     assert got == {"B": 1.0, "a": 2.0, "b": 3.0, None: 1.0}
 
 
-def test_plainness():
+def test_plainness_and_other_weights(spark):
     assert [mixing.plainness(t.encode()) for t in ("ab", "a!", "", "é!!", "éé!é")] == [1.0, 0.1, 0.1, 0.1, 0.5]
+    docs = spark.createDataFrame([(i, "w " * 5 + "x" * (i < 5), s, None, 0, 0) for i in range(10) for s in "ab"], SCHEMA)
+    table = spark.createDataFrame([("a", 0.5), ("b", 1.5)], "s string, weight double")
+    got = mixing.mix_sources(docs, table, weigh=lambda found: [1e9 if b"x" in t else 1.0 for t in found]).collect()
+    assert {r.doc_id for r in got if r.source == "a" and r.taken} <= set(range(5))
 
 
 def test_given_quality_and_clashing_names(spark):
