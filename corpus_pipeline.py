@@ -13,7 +13,7 @@ from gleanery.llm.common import materialize, table
 from gleanery.llm.decontaminate import decontaminate
 from gleanery.llm.mixing import cyclic_weights, mix_sources
 from gleanery.llm.pii import replace_personal_data, session_key
-from gleanery.llm.quality import add_quality, fit_quality, keep_quality
+from gleanery.llm.quality import fit_quality, keep_quality, scorer
 from gleanery.llm.simhash import drop_near_duplicates
 
 
@@ -49,8 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken or not by their keys like any other; a null source is a source; further columns are
     left behind."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = add_quality(docs.select("doc_id", "source", "text", "lang", "n_chars"), model, "quality")
-    mixed = mix_sources(scored, cyclic_weights(docs), quality_col="quality", keep=("text", "lang", "n_chars"))
+    mixed = mix_sources(docs, cyclic_weights(docs), keep=("text", "lang", "n_chars"), weigh=scorer(model))
     return mixed.where("copies > 0")
 
 
