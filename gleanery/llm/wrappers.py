@@ -641,7 +641,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                 keep.append([s for s, ok in enumerate(decide(_build(json.loads(shown)), of_slot)) if ok])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.list_(pa.int32()))], ["_host", "keep"])
 
-    kept = known.mapInArrow(choose, "_host string, keep array<int>")
+    kept = materialize(known.mapInArrow(choose, "_host string, keep array<int>"), "kept")  # so that the join knows its size
     text = F.expr("concat_ws('\n', transform(filter(arrays_zip(slots, blocks), z -> z.slots < 0 or array_contains(keep, z.slots)), z -> z.blocks))")
     return placed.join(kept, same(placed["host"], kept["_host"]), "left").select(
         F.col("i").alias(id_col), F.col("u").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars")
