@@ -37,7 +37,7 @@ def tokens(text: bytes, memo: _Memo | None = None) -> np.ndarray:
 
 def _masks(lengths: list[int]) -> list[str]:
     """The spaced masks, and a full mask for every item length below the span."""
-    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if SHORTEST <= n < SPAN)]
+    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if 0 < n < SPAN)]
 
 
 def _seeds(hashes: np.ndarray, masks: list[str]) -> Iterator[tuple[int, str, np.ndarray]]:
@@ -71,7 +71,7 @@ def find_overlaps(
     item_text_col: str = "text",
     min_overlap: int = 12,
     identity: float = 0.75,
-    context: int = 40,
+    context: int | None = None,
     log_bits: int = 25,
 ) -> DataFrame:
     """(id_col, item_col, doc_start, item_start, overlap, matched): overlaps of documents and items.
@@ -79,8 +79,9 @@ def find_overlaps(
     Every window of ``SPAN`` tokens of every text is hashed under masks that leave some positions
     out, on both sides; equal hashes are joined and the tokens around each hit compared. The masks
     hit every stretch of ten tokens and more of which three quarters match. An overlap is the
-    stretch around a hit (each hit is tried), at most ``context`` tokens beyond the windows, in which
-    matches most outweigh mismatches (+1, -2); it counts with at least ``min_overlap`` tokens (or
+    stretch around a hit (each hit is tried), at most ``context`` tokens beyond the windows (none
+    given: as many as the longest item has, so that none is cut), in which matches most outweigh
+    mismatches (+1, -2); it counts with at least ``min_overlap`` tokens (or
     the whole item, if that is shorter), of which a share of ``identity`` or more match. Per
     document and item the longest overlap is returned, the earliest of equals.
 
@@ -88,8 +89,9 @@ def find_overlaps(
     spares the join nearly all windows of other texts; it drops none that could match. Documents
     send only the tokens near hits, never their text.
 
-    Null and empty texts overlap nothing; items of fewer than ``SHORTEST`` tokens are not searched
-    for, and those of fewer than ``SPAN`` only without substitutions. Rows that share an id give
+    Null and empty texts overlap nothing; items of fewer than ``SPAN`` tokens are found without
+    substitutions only, and those of fewer than ``SHORTEST``, which stand by chance in many texts,
+    where a text is the item and nothing else. Rows that share an id give
     the overlaps of all of them; a null id is an id. Empty tables give an empty result; other
     columns are not read.
     """
@@ -107,6 +109,7 @@ def find_overlaps(
     )
     lengths = [r.n for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # below SPAN rows
     masks = _masks(lengths)
+    reach = context if context is not None else items.agg(F.max(F.size("tokens"))).first()[0] or 0
 
     def item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,21 +147,24 @@ def find_overlaps(
                 maybe = np.nonzero(table[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)[0]
                 two = two[maybe]
                 maybe = maybe[(table[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1) > 0]
-                inside = np.searchsorted(ends, maybe, "right") == np.searchsorted(ends, maybe + len(mask) - 1, "right")
+                owner = np.searchsorted(ends, maybe, "right")
+                inside = owner == np.searchsorted(ends, maybe + len(mask) - 1, "right")
+                if len(mask) < SHORTEST:
+                    inside &= (ends - np.append(0, ends[:-1]))[owner] == len(mask)
                 hits += zip(maybe[inside].tolist(), key[maybe[inside]].astype(np.int64).tolist())
             hits.sort()
             rows: list[tuple] = []
             for position, key in hits:
                 doc = int(np.searchsorted(ends, position, "right"))
                 first = int(ends[doc]) - len(group[doc][1])
-                if rows and rows[-1][0] == doc and position <= rows[-1][2][-1][0] + SPAN:
+                if rows and rows[-1][0] == doc and position <= rows[-1][2][-1][0] + max(SPAN, reach):
                     rows[-1][2].append((position, key))
                 else:
                     rows.append((doc, first, [(position, key)]))
             ids, starts, cut, places, found_keys = [], [], [], [], []
             for doc, first, hit in rows:
-                low = max(first, hit[0][0] - context)
-                high = min(int(ends[doc]), hit[-1][0] + SPAN + context)
+                low = max(first, hit[0][0] - reach)
+                high = min(int(ends[doc]), hit[-1][0] + SPAN + reach)
                 ids.append(group[doc][0])
                 starts.append(low - first)
                 cut.append(hashes[low:high].astype(np.int64))

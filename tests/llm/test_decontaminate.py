@@ -18,7 +18,7 @@ def brute(docs, items):
         d = words(text)
         for k, item, *_ in items:
             b = words(item)
-            if len(b) < dc.SHORTEST:
+            if len(b) < dc.SHORTEST and d != b:
                 continue
             masks = [m for m in dc.MASKS] if len(b) >= dc.SPAN else ["1" * len(b)]
             for shift in range(-len(b), len(d)):
@@ -125,3 +125,26 @@ def test_edited_items_against_brute_force_without_masks(spark):
     got = {(r.doc_id, r.item_id) for r in run(spark, docs, items)}
     every, full = brute_without_masks(docs, items)
     assert full <= got <= every and len(full) > 60
+
+
+def test_every_hit_of_an_alignment_is_tried(spark):
+    """Ten tokens of an item, others between, and thirty further ones where they belong."""
+    a, b, c = ([f"{name}{k}" for k in range(n)] for name, n in (("a", 60), ("b", 20), ("c", 20)))
+    items = [(1, " ".join(a), "x"), (2, " ".join(b), "x"), (3, " ".join(c), "x")]
+    docs = [(7, " ".join(a[:10] + b[:10] + c[:10] + a[30:]), None, 1, 1), (8, " ".join(a[:10] + b + a[30:]), None, 1, 1)]
+    got = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.overlap, r.matched) for r in run(spark, docs, items)}
+    assert got == {(7, 1): (30, 30, 30, 30), (8, 1): (30, 30, 30, 30), (8, 2): (10, 0, 20, 20)}
+
+
+def test_long_overlaps_are_not_cut(spark):
+    """Two hundred tokens with thirty others in the middle are one overlap of the whole item."""
+    item = [f"t{k}" for k in range(200)]
+    text = item[:90] + [f"other{k}" for k in range(30)] + item[120:]
+    (r,) = run(spark, [(1, " ".join(text), None, 1, 1)], [(1, " ".join(item), "x")])
+    assert (r.doc_start, r.item_start, r.overlap, r.matched) == (0, 0, 200, 170)
+
+
+def test_very_short_items_are_whole_texts(spark):
+    docs = [(1, "Yes!", None, 1, 1), (2, "yes and no", None, 1, 1), (3, "no, thank you", None, 1, 1), (4, "", None, 1, 1)]
+    got = {(r.doc_id, r.item_id) for r in run(spark, docs, [(1, "yes", "x"), (2, "No thank you", "x"), (3, "", "x")])}
+    assert got == {(1, 1), (3, 2)}
