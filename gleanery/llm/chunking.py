@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import slices, texts
+
 LEAST, NORMAL, MOST = 32, 64, 255
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _HARD, _EASY = np.uint32(0xFE000000), np.uint32(0xF0000000)  # 7 and 4 bits
@@ -86,8 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, fingerprint): the sorted distinct chunks of every whole text; empty for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [as_text(chunk_set((t or "").encode())) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = [as_text(chunk_set(t)) for t in texts(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], [id_col, "fingerprint"])
 
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -117,7 +119,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Ids are whole numbers; null ids come after all others. Rows that share an id follow each
     other by text, null as empty. Null texts count as empty; a lone document is its own next; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. A byte that is not UTF-8 counts
+    as a code point and stays as it is.
 
     The rows are split by id ranges and travel once, with their text; the first row of each range
     travels also to the range before it, so no task needs more than its own range in order.
@@ -159,25 +162,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             i, text, chunks = one
             n = len(text)
             third = n // 3
-            edited = (text[: n - third] + following[1][:third]).encode()
+            edited = (text[: n - third] + following[1][:third]).encode("utf-8", "surrogateescape")
             new = chunk_set(edited)
             return i, n, sha256(edited).hexdigest(), as_text(chunks), as_text(new), containment(chunks, new), containment(chunks, following[2])
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             kind = batch.schema.field(0).type
             rows = []
-            for i, text, extra in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, raw, extra in zip(batch.column(0).to_pylist(), texts(batch, "t"), batch.column(2).to_pylist()):
                 if ended:
                     continue
-                now = (i, text, chunk_set(text.encode()))
+                now = (i, raw.decode("utf-8", "surrogateescape"), chunk_set(raw))
                 if last is not None:
                     rows.append(result(last, now))
                 last = now
                 ended = bool(extra)
             columns = list(zip(*rows)) if rows else [[] for _ in range(7)]
             kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            for low in range(0, max(1, len(rows)), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 500], k) for c, k in zip(columns, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = source.schema["i"].dataType.simpleString()

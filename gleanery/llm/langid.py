@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import crc_remainder
+from gleanery.llm.common import crc_remainder, texts
 
 DIMENSIONS = 1024
 _KEPT = 12_000
@@ -54,11 +54,11 @@ class Encoder:
             rows.append(row)
         return rows
 
-    def bundle(self, texts: list[str]) -> np.ndarray:
+    def bundle(self, found: list[str]) -> np.ndarray:
         """One row per text: the sum of its trigram vectors, letters lower-cased and each run of
         other characters (and each end of the text) a gap; zero where there is no letter."""
         codes, owner = [], []
-        for k, text in enumerate(texts):
+        for k, text in enumerate(found):
             at = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
             at = np.where(_is_letter()[at], at, 0).astype(np.int64)
             at = np.concatenate([[0], at, [0]])
@@ -67,16 +67,16 @@ class Encoder:
                 codes.append(at)
                 owner.append(np.full(len(at) - 2, k))
         if not codes:
-            return np.zeros((len(texts), DIMENSIONS), np.float32)
+            return np.zeros((len(found), DIMENSIONS), np.float32)
         grams = np.concatenate([c[:-2] << 42 | c[1:-1] << 21 | c[2:] for c in codes])
         distinct, which = np.unique(grams, return_inverse=True)
-        out = np.zeros((len(texts), DIMENSIONS), np.float32)
+        out = np.zeros((len(found), DIMENSIONS), np.float32)
         docs = np.concatenate(owner)
         for low in range(0, len(distinct), _KEPT // 2):
             part = distinct[low : low + _KEPT // 2]
             mine = (which >= low) & (which < low + len(part))
-            counts = np.bincount(docs[mine] * len(part) + which[mine] - low, minlength=len(texts) * len(part))
-            out += counts.reshape(len(texts), len(part)).astype(np.float32) @ self._vectors_of(part.tolist())
+            counts = np.bincount(docs[mine] * len(part) + which[mine] - low, minlength=len(found) * len(part))
+            out += counts.reshape(len(found), len(part)).astype(np.float32) @ self._vectors_of(part.tolist())
         return out
 
     def _vectors_of(self, grams: list[int]) -> np.ndarray:
@@ -85,16 +85,16 @@ class Encoder:
 
 
 def _chunks(batch: pa.RecordBatch, name: str, rows: int = 64, size: int = 400_000) -> Iterator[tuple[int, list[str]]]:
-    """The texts of a batch, null as empty, in pieces of bounded length, with their offsets."""
-    column = batch.column(batch.schema.get_field_index(name))
-    for low in range(0, len(column), rows):
+    """The texts of a batch, null as empty and bytes that are not UTF-8 replaced, in pieces of bounded length, with their offsets."""
+    for low in range(0, batch.num_rows, rows):
         start, piece, total = low, [], 0
-        for k, text in enumerate(column.slice(low, rows).to_pylist(), low):
-            if piece and total + len(text or "") > size:
+        for k, raw in enumerate(texts(batch.slice(low, rows), name), low):
+            text = raw.decode("utf-8", "replace")
+            if piece and total + len(text) > size:
                 yield start, piece
                 start, piece, total = k, [], 0
-            piece.append(text or "")
-            total += len(text or "")
+            piece.append(text)
+            total += len(text)
         if piece:
             yield start, piece
 

@@ -46,3 +46,34 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in langid.predict_language(docs, {}).collect()} == {"und"}
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.learn_prototypes(empty) == {} and langid.predict_language(empty, {}).count() == 0
+
+
+def test_against_brute_force(spark):
+    """Learning and prediction written out with loops over letters, on rows that share ids and languages."""
+    rows = documents(60, 3) + [(7, "the ing", "xa", None, None), (900, "une étoile", None, None, None), (901, None, "xb", None, None)]
+
+    def vector(text):
+        out, last = np.zeros(langid.DIMENSIONS), [0]
+        for c in (text or "").lower() + " ":
+            code = ord(c) if c.isalpha() else 0
+            if code or last[-1]:
+                last.append(code)
+        for a, b, c in zip(last, last[1:], last[2:]):
+            bound = [langid.letter_vector(a)[(k - 2) % langid.DIMENSIONS] * langid.letter_vector(b)[k - 1] * langid.letter_vector(c)[k] for k in range(langid.DIMENSIONS)]
+            out += bound
+        return out
+
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    vectors = [vector(r[1]) for r in rows]
+    sums = {}
+    for r, v in zip(rows, vectors):
+        if r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            sums[r[2]] = sums.get(r[2], 0) + unit(v)
+    expected = []
+    for r, v in zip(rows, vectors):
+        best = max(sorted(sums), key=lambda name: unit(v) @ unit(sums[name])) if v.any() else "und"
+        expected.append((r[0], best, (1 + unit(v) @ unit(sums[best])) / 2 if v.any() else 0.0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.predict_language(docs, langid.learn_prototypes(docs)).collect())
+    assert [g[:2] for g in got] == [e[:2] for e in sorted(expected)]
+    assert np.allclose([g[2] for g in got], [e[2] for e in sorted(expected)], atol=1e-4)
