@@ -38,11 +38,9 @@ def rank(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
 
 
-def search_documents(
-    docs: DataFrame, queries: DataFrame, limit: int = 10, scorer: str = "bm25", analyser: str = "alphabetic", stop_words: bool = True
-) -> DataFrame:
-    """(query_id, rank, doc_id, score) over documents that are not indexed, with statistics of all
-    of them.
+def score_documents(docs: DataFrame, queries: DataFrame, scorers: tuple[str, ...], analyser: str = "alphabetic", stop_words: bool = True) -> DataFrame:
+    """(query_id, key, doc_id, a column per scorer): the scores of all documents that hold a term of a
+    query, by several scorers in one pass over the documents, with statistics of all of them.
 
     Terms are matched with the queries' terms as soon as they are split off, so that only
     postings that some query asks for are counted and shuffled; a document's length travels
@@ -59,8 +57,15 @@ def search_documents(
     )
     # counted over tf, so that both uses of the postings are one plan and their shuffle is made once
     df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    scored = with_totals(postings.join(df, "term"), totals).withColumn("part", _score(scorer))
-    return rank(_summed(scored.select("term", "key", "doc_id", "part"), words), limit)
+    scored = with_totals(postings.join(df, "term"), totals).withColumns({s: _score(s) for s in scorers})
+    return _summed(scored.select("term", "key", "doc_id", *scorers), words, scorers)
+
+
+def search_documents(
+    docs: DataFrame, queries: DataFrame, limit: int = 10, scorer: str = "bm25", analyser: str = "alphabetic", stop_words: bool = True
+) -> DataFrame:
+    """(query_id, rank, doc_id, score) over documents that are not indexed (:func:`score_documents`)."""
+    return rank(score_documents(docs, queries, (scorer,), analyser, stop_words).withColumnRenamed(scorer, "score"), limit)
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
@@ -68,12 +73,9 @@ def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
 
 
-def _summed(parts: DataFrame, words: DataFrame) -> DataFrame:
-    return (
-        parts.join(words, "term")
-        .groupBy("query_id", "key", "doc_id")
-        .agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
-    )
+def _summed(parts: DataFrame, words: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    sums = (F.round(F.sum(F.col(n) * F.col("times")), 6).alias(n) for n in names)
+    return parts.join(words, "term").groupBy("query_id", "key", "doc_id").agg(*sums)
 
 
 def search_index(index: Index, queries: DataFrame, limit: int = 10, scorer: str = "bm25", stats: str = "global", stop_words: bool = True, analyser: str = "alphabetic") -> DataFrame:
@@ -94,8 +96,8 @@ def search_index(index: Index, queries: DataFrame, limit: int = 10, scorer: str
         scored = with_totals(postings.join(_df(postings, "term"), "term"), totals)
     else:
         raise ValueError("stats is 'global' or 'segment'")
-    scored = scored.withColumn("key", F.struct(*keys)).withColumn("part", _score(scorer)).withColumn("doc_id", F.lit(None).cast("int"))
-    summed = _summed(scored.select("term", "key", "doc_id", "part"), words)
+    scored = scored.withColumn("key", F.struct(*keys)).withColumn("score", _score(scorer)).withColumn("doc_id", F.lit(None).cast("int"))
+    summed = _summed(scored.select("term", "key", "doc_id", "score"), words, ("score",))
     # the best of every query and those that tie with the last, by score alone, so that few documents are looked up
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     near = summed.withColumn("at", F.rank().over(best)).where(F.col("at") <= limit).select("query_id", "score", "key", "key.*")

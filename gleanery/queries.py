@@ -12,7 +12,7 @@ from gleanery.operators import boolean, codec, evaluation, index, search, sets,
 from gleanery.plans import boolean as plans
 from gleanery.plans.language import parse
 from gleanery.storage import read_table as _table
-from gleanery.storage import shared_dir, spread
+from gleanery.storage import materialize, shared_dir, spread
 
 SINGLE = "tion shing the erble, and thati."
 REPEATED = "erin erin thble of ouing ERIN"
@@ -198,7 +198,8 @@ def qrels_filter(spark, sf_dir):
 
 
 def _quality(spark, sf_dir, scheme="burges"):
-    return evaluation.query_quality(search_bm25_batch(spark, sf_dir), _qrels(spark, sf_dir), _benchmark(spark, sf_dir), scheme=scheme)
+    judged = materialize(_qrels(spark, sf_dir), "qrels")  # used twice
+    return evaluation.query_quality(search_bm25_batch(spark, sf_dir), judged, _benchmark(spark, sf_dir), scheme=scheme)
 
 
 def precision_recall(spark, sf_dir):
@@ -221,10 +222,10 @@ def eval_summary(spark, sf_dir):
 
 def ranked_overlap(spark, sf_dir):
     """How alike BM25 and TF-IDF rank the benchmark texts."""
-    docs, queries = _docs(spark, sf_dir), _benchmark(spark, sf_dir)
+    scores = search.score_documents(_docs(spark, sf_dir), _benchmark(spark, sf_dir), search.SCORERS)
     ranked = []
     for scorer in search.SCORERS:
-        top = search.search_documents(docs, queries, scorer=scorer)
+        top = search.rank(scores.withColumnRenamed(scorer, "score"), 10)
         in_order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
         ranked.append(top.groupBy("query_id").agg(in_order.alias(scorer)))
     both = ranked[0].join(ranked[1], "query_id")
