@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery import queries_sources
 from gleanery.functions import ids, text, wikitext
 from gleanery.operators import boolean, codec, evaluation, index, search, sets, vectors
 from gleanery.plans import boolean as plans
@@ -276,7 +277,7 @@ QUERIES = {
         collect_count, collect_top, set_intersect, set_union, set_exclude, set_seek, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
         knn_batch, explain_tree, parse_id, wikitext_strip, codec_round_trip,
     )
-} | {name: _boolean(query) for name, query in BOOLEAN.items()}
+} | {name: _boolean(query) for name, query in BOOLEAN.items()} | queries_sources.QUERIES
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -363,7 +364,19 @@ _NESTED = """(select t.doc_id, t.s + u.s as s from tion t join (select doc_id, s
   select * from erble where doc_id not in (select doc_id from shing) union all select * from ouing) group by doc_id) u using (doc_id))"""
 _OUT = "select doc_id, round(s, 6) as score from "
 
-ORACLES = {
+_PLANS = {
+    "bool_term": "Term (term = erble)\n",
+    "bool_and": "Intersection\n├── Term (term = erble)\n└── Term (term = shing)\n",
+    "bool_or": "Union\n├── Term (term = erble)\n└── Term (term = ouing)\n",
+    "bool_and_not": "Exclusion\n├── include = Term (term = erble)\n└── exclude = Term (term = shing)\n",
+    "bool_multi_not": "Exclusion\n├── include = Term (term = tion)\n└── exclude = Union\n    ├── Term (term = erble)\n    └── Term (term = shing)\n",
+    "bool_or_of_and": "Union\n├── Intersection\n│   ├── Term (term = erble)\n│   └── Term (term = shing)\n└── Term (term = ouing)\n",
+    "bool_nested": "Intersection\n├── Term (term = tion)\n└── Union\n    ├── Exclusion\n    │   ├── include = Term (term = erble)\n"
+    "    │   └── exclude = Term (term = shing)\n    └── Term (term = ouing)\n",
+}
+
+ORACLES = queries_sources.ORACLES | {
+    "explain_tree": "select * from (values " + ", ".join(f"('{name}', '{plan}')" for name, plan in _PLANS.items()) + ") as t(name, plan)",
     "tokenize_terms": rf"""select doc_id, (row_number() over (partition by doc_id order by p) - 1)::int as pos, w as word, {_TERM} as term from (
       select doc_id, unnest(string_split_regex(text, '\s+')) as w, generate_subscripts(string_split_regex(text, '\s+'), 1) as p from documents) where w <> ''""",
     "stop_word_filter": _with(_asked(_ITEMS)) + "select query_id, term, times from asked",
