@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions.scoring import bm25
 from gleanery.operators.index import Index, analysed, postings_of
@@ -12,8 +13,9 @@ from gleanery.plans import boolean
 from gleanery.plans.language import parse
 
 
-def boolean_search(docs: DataFrame | Index, query: str, scored: bool = True, analyser: str = "alphabetic") -> DataFrame:
-    """(doc_id, score) of the documents, or of those of an index, that match; without ``scored`` only doc_id.
+def boolean_search(docs: DataFrame | Index, query: str, scored: bool = True, analyser: str = "alphabetic", with_places: bool = False) -> DataFrame:
+    """(doc_id, score) of the documents, or of those of an index, that match; without ``scored`` only
+    doc_id, with ``with_places`` also segment_id and seg_doc_id of an index.
 
     The postings of the query's terms are brought together by document once, whatever the shape
     of the query; the plan becomes one expression for the match and one for the score. Stop
@@ -43,9 +45,10 @@ def boolean_search(docs: DataFrame | Index, query: str, scored: bool = True, ana
     matching = rows.where(boolean.matched(node, has))
     if isinstance(docs, Index):
         matching = matching.join(docs.docs.select(*key, "doc_id"), key)
+    shown = ["doc_id", *(key if with_places else ())]
     if not scored:
-        return matching.select("doc_id")
-    return matching.select("doc_id", F.round(boolean.score(node, has, {t: F.col(f"{n}s") for t, n in places.items()}), 6).alias("score"))
+        return matching.select(*shown)
+    return matching.select(*shown, F.round(boolean.score(node, has, {t: F.col(f"{n}s") for t, n in places.items()}), 6).alias("score"))
 
 
 def collect_count(matching: DataFrame) -> DataFrame:
@@ -56,3 +59,11 @@ def collect_count(matching: DataFrame) -> DataFrame:
 def collect_top(matching: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` matches: by score, then by id."""
     return matching.orderBy(F.col("score").desc(), "doc_id").limit(limit)
+
+
+def collect_top_segments(matching: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, score): the best ``limit`` of every segment, by score and then by place, and of these the
+    best ``limit``, by score and then by id; from matches with their places."""
+    best = Window.partitionBy("segment_id").orderBy(F.col("score").desc(), "seg_doc_id")
+    kept = matching.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= limit)
+    return collect_top(kept.select("doc_id", "score"), limit)

@@ -154,6 +154,11 @@ def collect_top(spark, sf_dir):
     return boolean.collect_top(boolean.boolean_search(_docs(spark, sf_dir), BOOLEAN["bool_or_of_and"]), 20)
 
 
+def collect_top_segments(spark, sf_dir):
+    found = index.build_index(_docs(spark, sf_dir), SEGMENT)
+    return boolean.collect_top_segments(boolean.boolean_search(found, BOOLEAN["bool_or_of_and"], with_places=True), 5)
+
+
 def _scored(spark, sf_dir, term):
     return boolean.boolean_search(_docs(spark, sf_dir), term)
 
@@ -274,7 +279,7 @@ QUERIES = {
         search_bm25_batch, tokenize_terms, stop_word_filter, doc_lengths, term_postings, term_dictionary, corpus_stats, segment_stats,
         segment_doc_ids, posting_block_stats, search_bm25_single, search_bm25_repeated_term, search_tfidf, search_bm25_per_segment,
         stored_search_single, stored_search_batch, stored_search_tfidf, stored_bool_nested, stored_postings,
-        collect_count, collect_top, set_intersect, set_union, set_exclude, set_seek, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
+        collect_count, collect_top, collect_top_segments, set_intersect, set_union, set_exclude, set_seek, qrels_filter, precision_recall, ndcg_at_10, ndcg_jarvelin, eval_summary, ranked_overlap, knn_l2,
         knn_batch, explain_tree, parse_id, wikitext_strip, codec_round_trip,
     )
 } | {name: _boolean(query) for name, query in BOOLEAN.items()} | queries_sources.QUERIES
@@ -421,6 +426,10 @@ ORACLES = queries_sources.ORACLES | {
     "bool_nested": _LEAVES + _OUT + _NESTED,
     "collect_count": _LEAVES + f"select count(*) as matches from {_OR_OF_AND}",
     "collect_top": _LEAVES + _OUT + _OR_OF_AND + " order by score desc, doc_id limit 20",
+    "collect_top_segments": _LEAVES
+    + f""", numbered as (select doc_id, ((row_number() over (order by doc_id) - 1) // {SEGMENT})::int as segment_id from documents)
+    select doc_id, score from (select *, row_number() over (partition by segment_id order by score desc, doc_id) as k
+      from (select doc_id, round(s, 6) as score from {_OR_OF_AND}) join numbered using (doc_id)) where k <= 5 order by score desc, doc_id limit 5""",
     "set_intersect": _LEAVES + _OUT + "(select a.doc_id, round(a.s, 6) + round(b.s, 6) as s from erble a join tion b using (doc_id))",
     "set_union": _LEAVES + _OUT + "(select doc_id, sum(round(s, 6)) as s from (select * from erble union all select * from ouing union all select * from shing) group by doc_id)",
     "set_exclude": _LEAVES + _OUT + "(select doc_id, round(s, 6) as s from tion where doc_id not in (select doc_id from erble) and doc_id not in (select doc_id from shing))",

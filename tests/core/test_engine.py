@@ -256,3 +256,12 @@ def test_boolean_search_over_an_index(spark):
     for query in ("red AND NOT hen", "fox OR hen", "red AND (fox OR hen)"):
         expected = sorted(boolean.boolean_search(docs, query).collect())
         assert sorted(boolean.boolean_search(index.build_index(docs, 2), query).collect()) == expected and expected
+
+
+def test_ties_of_a_segment_go_by_place_and_of_segments_by_id(spark):
+    docs = spark.createDataFrame([(10 * i, "red fox" if i % 2 else "red") for i in range(9)], "doc_id long, text string")
+    found = boolean.boolean_search(index.build_index(docs, 4), "fox", with_places=True)
+    assert [r.doc_id for r in boolean.collect_top_segments(found, 1).collect()] == [10]
+    assert [r.doc_id for r in boolean.collect_top_segments(found, 3).collect()] == [10, 30, 50]
+    moved = found.withColumn("seg_doc_id", -F.col("seg_doc_id"))
+    assert [r.doc_id for r in boolean.collect_top_segments(moved, 1).collect()] == [30]
