@@ -128,13 +128,14 @@ def near_pairs(found: DataFrame, radius: int = 2, specs: tuple[KeySpec, ...] | N
 
     The join carries nothing but keys and fingerprints. A key has 33 bits and more besides the
     number of its kind, so that of n fingerprints it meets some n / 10 ** 9 strangers; nothing is
-    capped.
+    capped. It is a merge join whatever the planner's sizes say: the planner sees the fingerprints,
+    not the six or some thirty keys of each, and would gather these in the driver to broadcast them.
     """
     specs = specs or guaranteed_specs()
     probe = _keys(found, specs, probe=True).withColumnRenamed("f", "u")
     build = _keys(found, specs, probe=False).withColumnRenamed("f", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
-    met = probe.join(build, "k").where((F.col("u") != F.col("v")) & near)
+    met = probe.hint("merge").join(build, "k").where((F.col("u") != F.col("v")) & near)
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from gleanery.llm import pii, quality, setjoin, simhash
-from tests.llm import test_decontaminate, test_setjoin
+from tests.llm import test_decontaminate, test_setjoin, test_simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -84,3 +84,12 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), path).count() == 0
     assert corpus_pipeline.mix(spark, docs.limit(0), path).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_duplicates_do_not_broadcast_keys(spark, folder, monkeypatch):
+    """There are some forty keys a fingerprint, and the driver would hold those of all documents."""
+    path, *_ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    found = test_simhash.plans(monkeypatch, lambda: corpus_pipeline.near_duplicates(spark, docs, path))
+    assert "MapInArrow" in found["links"]
+    assert not any(map(test_simhash.broadcast_python, found.values()))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -31,6 +32,28 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def broadcast_python(plan):
+    """Whether a physical plan broadcasts what Python makes, of which the planner does not know the size."""
+    inside = None
+    for line in plan.splitlines():
+        depth = len(re.match(r"[ :+-]*", line)[0])
+        if inside is not None and depth <= inside:
+            inside = None
+        if inside is None and line[depth:].startswith("BroadcastExchange"):
+            inside = depth
+        if inside is not None and line[depth:].startswith("MapInArrow"):
+            return True
+    return False
+
+
+def plans(monkeypatch, run):
+    """The physical plans of what ``run`` writes to the shared folder, by tag, as first chosen."""
+    found, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: found.update({tag: df._jdf.queryExecution().executedPlan().toString()}) or write(df, tag))
+    run()
+    return found
+
+
 def test_golay_neighbours_meet():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 3000)
