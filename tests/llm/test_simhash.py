@@ -119,3 +119,23 @@ def test_drop_keeps_one_of_each_group(spark):
     assert {1000, 1001, None} <= set(ids)
     assert {g * 10 for g in range(30)} <= set(ids)
     assert len(ids) <= 33 + 2
+
+
+def test_groups_do_not_broadcast_keys(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(40)), None, 1) for i in range(50)]
+    rows += [(100 + i, rows[i][1], None, 1) for i in range(20)]
+    found = plans(monkeypatch, lambda: simhash.simhash_groups(spark.createDataFrame(rows, SCHEMA)))
+    assert "MapInArrow" in found["pairs"]
+    assert not any(map(broadcast_python, found.values()))
+
+
+def test_near_pairs_are_those_within_two_bits(spark):
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(80)}
+    for x in list(prints):
+        prints.update(x ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 3))
+    signed = [x - (x >> 63 << 64) for x in prints]
+    got = simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "f0 long")).collect()
+    expected = {(u, v) for u in signed for v in signed if u < v and ((u ^ v) & (1 << 64) - 1).bit_count() <= 2}
+    assert len(got) == len(expected) and {(r.u, r.v) for r in got} == expected
