@@ -159,24 +159,27 @@ def simhash_groups(
     linked like any other; rows with a null id are counted but name no group (component_id is
     null only if the whole group has no id); repeated rows are rows of their own; an empty table
     gives an empty table; other columns are ignored whatever their names.
+
+    The joins are merge joins whatever the planner's sizes say: it takes a table for as large as its
+    compressed file, and where rows are copies or have no id a few MB hold millions of them.
     """
     found = materialize(fingerprints(docs, id_col, text_col, features), "fingerprints")
     classes = materialize(found.groupBy("f0").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")), "classes")
     pairs = materialize(near_pairs(classes, radius, specs), "pairs")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.join(classes.select(F.col("f0").alias("v"), "size"), "v").groupBy(F.col("u").alias("f0")).agg(F.sum("size").alias("others"))
+    near = both.hint("merge").join(classes.select(F.col("f0").alias("v"), "size"), "v").groupBy(F.col("u").alias("f0")).agg(F.sum("size").alias("others"))
     groups = connected_components(pairs)
     labelled = (
-        classes.join(groups.withColumnRenamed("node", "f0"), "f0", "left")
-        .join(near, "f0", "left")
+        classes.join(groups.withColumnRenamed("node", "f0").hint("merge"), "f0", "left")
+        .join(near.hint("merge"), "f0", "left")
         .withColumn("component", F.coalesce("component", "f0"))
     )
     labelled = materialize(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_class = labelled.join(least, "component").select(
+    per_class = labelled.hint("merge").join(least, "component").select(
         "f0", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"
     )
-    return found.join(per_class, "f0").select(F.col("id").alias(id_col), "f0", "n_near", "component_id")
+    return found.hint("merge").join(per_class, "f0").select(F.col("id").alias(id_col), "f0", "n_near", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,6 +130,18 @@ def test_groups_do_not_broadcast_keys(spark, monkeypatch):
     assert not any(map(broadcast_python, found.values()))
 
 
+def test_groups_of_copies_do_not_broadcast_rows(spark, monkeypatch):
+    """The planner knows the size of a file, which says little where rows are copies or have no id."""
+    rows = [(None, f"some text of {i % 3}", None, 1) for i in range(300)] + [(7, "some text of 0", None, 1), (8, "another", None, 1)]
+    kept = []
+    found = plans(monkeypatch, lambda: kept.append(simhash.simhash_groups(spark.createDataFrame(rows, SCHEMA))))
+    found["last"] = kept[0]._jdf.queryExecution().executedPlan().toString()
+    for tag in ("labelled", "last"):
+        assert "SortMergeJoin" in found[tag] and "Broadcast" not in found[tag]
+    got = sorted(((r.doc_id, f"{r.f0 & (2**64 - 1):016x}", r.n_near, r.component_id) for r in kept[0].collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_near_pairs_are_those_within_two_bits(spark):
     rng = random.Random(6)
     prints = {rng.getrandbits(64) for _ in range(80)}
