@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialize, same, strings, texts
@@ -59,6 +60,21 @@ def runs(counts: list[int], least_words: int, least_sentences: int = 2) -> np.nd
     return np.stack(np.divmod(np.unique(both), n + 1), axis=1)
 
 
+def _again(ids: pa.Array | None, hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Whether each run repeats an earlier one of the batch, or of its document if the documents have
+    no ids that can be ordered here. ids, hashes: of the documents; docs: the runs' documents."""
+    ranks = pc.rank(ids, null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64) if ids is not None else np.arange(len(hashes))
+    rank, x = ranks[docs], hashes[docs]
+    keys = [digests[:, 0], digests[:, 1], *([rank] if ids is None else [])]
+    order = np.lexsort((starts, x, rank, *reversed(keys)))
+    changes = lambda columns: np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
+    number = np.cumsum(changes([*keys, rank, x, starts]))  # of the place, one for rows that are alike
+    first = number[np.maximum.accumulate(np.where(changes(keys), np.arange(len(order)), 0))]
+    out = np.zeros(len(order), bool)
+    out[order] = number != first
+    return out
+
+
 def repeated_runs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0, least_sentences: int = 2, long_words: int = 30
 ) -> DataFrame:
@@ -68,15 +84,17 @@ def repeated_runs(
     Every run of ``least_sentences`` consecutive sentences and more with ``least_words`` words is
     hashed to 128 bits (:func:`runs`); equal hashes are copies: among 10 ** 12 runs two different
     ones agree with a probability under 10 ** -14. The first by id (null ids last), text hash and
-    place is the original. Runs are hashed once, into a table of the shared folder; the originals
-    of repeated hashes come from one aggregation with partial sums on the map side, and a join
-    brings them to their copies. A passage in very many documents makes a hot key of that join on
-    the copies' side only, whose partition can be split.
+    place is the original. Runs are hashed once and shuffled once, to where those of a hash are
+    ranked. Those that repeat one of their own batch need no rank and go elsewhere, by document: a
+    passage in very many documents, or very often in one, makes a row per batch for its hash; per
+    document, where ids are of a type other than integers, decimals, strings and dates.
     """
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).select(
         "i", F.coalesce(F.xxhash64("t"), F.lit(0)).alias("x"), "t"
     )
     kind = source.schema["i"].dataType.simpleString()
+    #: Other ids Arrow may order otherwise than Spark.
+    ordered = kind in ("tinyint", "smallint", "int", "bigint", "string", "date") or kind.startswith("decimal")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, join = xxhash.xxh3_128_digest, b"\x1f".join
@@ -88,19 +106,23 @@ def repeated_runs(
                     found = [u for u in (p.strip() for p in pieces(text, long_words)) if u]
                     places.append(runs([words_in(u) for u in found], least_words, least_sentences))
                     hashes += [digest(join(found[a:b])) for a, b in places[-1].tolist()]
-                rows = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
+                if not hashes:
+                    continue
+                rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
                 numbers = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                at = np.concatenate([np.zeros((0, 2), np.int64), *places]).astype(np.int32)
+                at = np.concatenate(places).astype(np.int32)
+                x = batch.column(1).to_numpy()
+                again = _again(batch.column(0) if ordered else None, x, rows, at[:, 0], numbers)
+                key = np.where(again[:, None], np.stack([x[rows] ^ rows, rows], axis=1), numbers)  # the row, since texts have copies
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[:, 0]), pa.array(at[:, 1])],
-                    ["h", "g", "i", "x", "start", "end"],
+                    [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(again), batch.column(0).take(pa.array(rows)), pa.array(x[rows]), pa.array(at[:, 0]), pa.array(at[:, 1])],
+                    ["h", "g", "again", "i", "x", "start", "end"],
                 )
 
-    every = materialize(source.mapInArrow(emit, f"h long, g long, i {kind}, x long, start int, end int"), "runs")
-    place = F.struct(F.col("i").isNull().alias("none"), "i", "x", "start")
-    firsts = every.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "g", "first")
-    again = every.join(firsts, ["h", "g"]).where(~same(place, F.col("first")))
-    return again.groupBy("i", "x").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # one text's runs
+    every = source.mapInArrow(emit, f"h long, g long, again boolean, i {kind}, x long, start int, end int")
+    place = Window.partitionBy("h", "g", "again").orderBy(F.col("i").asc_nulls_last(), "x", "start")
+    copies = every.withColumn("n", F.rank().over(place)).where("n > 1 or again")  # rows of one place share a rank
+    return copies.groupBy("i", "x").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # one text's runs
 
 
 def drop_repeated_runs(

@@ -1,10 +1,15 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import queries_spans, spans
+from gleanery.storage import shared_dir
 
 SCHEMA = "doc_id long, text string, x string, places int, h int"
 
@@ -106,3 +111,48 @@ def test_bytes_that_are_no_utf8_stay(spark):
 def test_empty_table(spark):
     assert spans.drop_repeated_runs(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "n_sentences", "n_removed"]
     assert spans.drop_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def written(spark):
+    """Bytes of all shuffles so far and of the shared folder's tables."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    tables = Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet")
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) + sum(p.stat().st_size for p in tables)
+
+
+def test_a_run_is_written_once(spark):
+    """16 of its bytes are a hash, that of the text has 8, and id and place have few."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.randrange(10**6)} and some more." for _ in range(60)), "x", 1, 1) for i in range(2_000)]
+    n = sum(len(spans.runs([spans.words_in(p) for p in spans.pieces(r[1].encode())], 16)) for r in rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    before = written(spark)
+    assert n > 100_000 and spans.repeated_runs(docs, least_words=16).collect() == []
+    time.sleep(1)  # for the last stage's figures
+    assert written(spark) - before < 40 * n
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "double", "int"])
+def test_the_first_id_keeps_a_passage(spark, kind):
+    """In the order of Spark, where the copies are of one batch and where they are not."""
+    rows = [(i, f"{i} alone. Alpha beta gamma. Delta epsilon. Alpha beta gamma. Delta epsilon.", None, None, None) for i in [100, 9, 20, None, 3, 3, 1000]]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    for parts in (1, 5):
+        got = spans.drop_repeated_runs(docs.repartition(parts)).selectExpr("cast(cast(doc_id as int) as string) i", "text").collect()
+        first = "100" if kind == "string" else "3"
+        assert len(got) == 7
+        for r in got:
+            assert r.text == f"{r.i or 'None'} alone. " + ("Alpha beta gamma. Delta epsilon. " if r.i == first else "")
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_runs_that_repeat_one_of_their_batch(ordered):
+    rng = np.random.default_rng(5)
+    ids, hashes = [4, None, 2, 2, 7, None, 2], np.array([1, 5, 9, 9, -3, 2, -8])
+    docs = np.sort(rng.integers(0, 7, 200))
+    starts = rng.integers(0, 40, 200)
+    digests = rng.integers(0, 6, (200, 2))
+    place = lambda k: (ids[docs[k]] is None, ids[docs[k]] or 0, hashes[docs[k]], starts[k])
+    near = lambda k, j: (digests[k] == digests[j]).all() and (ordered or docs[k] == docs[j])
+    expected = [any(near(k, j) and place(j) < place(k) for j in range(200)) for k in range(200)]
+    assert spans._again(pa.array(ids) if ordered else None, hashes, docs, starts, digests).tolist() == expected and 20 < sum(expected) < 180
