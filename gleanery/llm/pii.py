@@ -55,7 +55,7 @@ _IBAN_LENGTHS = {
 }
 #: Country codes of telephone numbers: of one, of two and of three digits.
 _CALLING = re.compile(
-    r"1|7|2[07]|3[0-4689]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[57]|42|5[09]|6[789]|8[058]|9[679])[0-9]"
+    r"1|7|2[07]|3[0-4689]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|(?:2[2-689]|3[57]|42|5[09]|6[789]|8[058]|9[679])[0-9]"
 )
 
 

@@ -57,6 +57,17 @@ def test_others_stay(text):
     assert change(text) == (text, {})
 
 
+@pytest.mark.parametrize("code", range(210, 220))
+def test_country_codes_that_begin_with_21(code):
+    """Those of South Sudan, Morocco, Algeria, Tunisia and Libya are in use."""
+    text = f"+{code}1234567"
+    new, counts = change(text)
+    if code in (211, 212, 213, 216, 218):
+        assert counts == {"phone": 1} and new != text and new[:4] == text[:4] and change(new, back=True)[0] == text
+    else:
+        assert (new, counts) == (text, {})
+
+
 def test_values_end_where_they_should():
     for text, value in (
         ("AT61 1904 3002 3457 3201 EUR", "AT61 1904 3002 3457 3201"),
