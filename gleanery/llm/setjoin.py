@@ -9,8 +9,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.llm.common import materialize
 from gleanery.llm.components import connected_components
@@ -21,8 +22,6 @@ JACCARD = Fraction(9, 20)
 SIZE = 3
 #: Shingles that a text may have without any being left out; of more a half, a quarter ... is selected.
 TARGET = 128
-#: Sets of which the shingles are counted to order them, and how many counts are kept.
-SAMPLE, FREQUENT = 3_000, 1 << 17
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 62, SIZE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -74,45 +73,35 @@ def release(docs: DataFrame) -> None:
 
 def _postings(sets: DataFrame, jaccard: Fraction) -> DataFrame:
     """(k, c, n, w, own, at): for every set, at its own level and at the next, the first
-    w - ceil(t w) + 1 of its w selected shingles in one order, frequent ones last, with their places;
-    only shingles that several sets have there. Sets that reach the threshold t have one in common.
-    The order, from a sample of the sets, decides on the cost only."""
+    w - ceil(t w) + 1 of its w selected shingles in one order, rare ones first, with their places;
+    without shingles that no other set has. Sets that reach the threshold t have one in common.
+
+    The order, by how many sets have a shingle, decides on the cost only. It is exact, as a shingle
+    that a sample has once may be in more sets the more there are, and then pairs that meet by chance
+    grow with their square. Shingles are shuffled once to be counted, and those of several sets once to
+    be put in order.
+    """
     a, b = jaccard.numerator, jaccard.denominator
-    every = max(1, sets.count() // SAMPLE)
-    sample = sets.where(F.pmod("c", F.lit(every)) == 0).select(F.explode("s").alias("k"))
-    counted = sample.groupBy("k").count().where("count > 1").orderBy(F.desc("count"), "k").limit(FREQUENT).toPandas().sort_values("k")
-    shared = sets.sparkSession.sparkContext.broadcast((counted["k"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                out = []
-                for c, n, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    own = level_of(n)
-                    for level in (own, own + 1):
-                        s = select(values.values.to_numpy(), level)
-                        w = len(s)
-                        often = np.zeros(w, np.int64)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                            often = np.where(known[at] == s, counts[at], 0)
-                        first = s[np.lexsort((s, often))[: w - -(-a * w // b) + 1]]
-                        m = len(first)
-                        key = (first.view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-                        numbers = (np.full(m, x, np.int32) for x in (n, w))
-                        out.append((key, np.full(m, c), *numbers, np.full(m, level == own), np.arange(m, dtype=np.int32)))
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.bool_, np.int32)
-                columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "c", "n", "w", "own", "at"])
-
-    posting = sets.select("c", "n", "s").mapInArrow(prefixes, "k long, c long, n int, w int, own boolean, at int")
-    posting = materialize(posting, "prefixes")
-    several = posting.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    found = materialize(posting.join(several, "k"), "postings")
-    discard(posting)
-    return found
+    by_shingle = Window.partitionBy("k")
+    shared = sets.select(F.explode("s").alias("k"), "c").withColumn("often", F.count(F.lit(1)).over(by_shingle)).where("often > 1")
+    level = F.expr(f"case when n <= {TARGET} then 0 else length(bin((n - 1) div {TARGET})) end").cast("int")
+    sizes = sets.select("c", "n", level.alias("level"), F.size("s").alias("w0"), "s")
+    sizes = sizes.select("c", "n", "level", "w0", F.size(F.filter("s", lambda x: _ends(x, F.col("level")))).alias("w1"))
+    levels = F.when(_ends(F.col("k"), F.col("level")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = shared.join(sizes, "c").select("k", "c", "n", "level", "w0", "w1", "often", F.explode(levels).alias("up"))
+    by_set = Window.partitionBy("c", "up")
+    w = F.when(F.col("up") == 0, F.col("w0")).otherwise(F.col("w1"))
+    rows = rows.select("k", "c", "n", "level", "up", w.alias("w"), (F.row_number().over(by_set.orderBy("often", "k")) - 1).alias("at"), F.count(F.lit(1)).over(by_set).alias("found"))
+    rows = rows.withColumn("at", (F.col("at") + F.col("w") - F.col("found")).cast("int")).where(f"at <= w - ({a}L * w + {b - 1}) div {b}")
+    key = F.col("k").bitwiseXOR(F.xxhash64(F.col("level") + F.col("up")))
+    out = materialize(rows.select(key.alias("k"), "c", "n", "w", (F.col("up") == 0).alias("own"), "at"), "postings")
+    release(sets)
+    return out
+
+
+def _ends(shingle: Column, level: Column) -> Column:
+    """Whether a shingle selected at a level is at the next, too."""
+    return F.call_function("shiftright", shingle, level).bitwiseAND(F.lit(1)) == 0
 
 
 def verified(met: DataFrame, sets: DataFrame, jaccard: Fraction) -> DataFrame:
@@ -157,7 +146,6 @@ def linked_sets(sets: DataFrame, links: DataFrame, jaccard: Fraction = JACCARD,
     """
     a, b = jaccard.numerator, jaccard.denominator
     posting = _postings(sets, jaccard)
-    release(sets)
     links = links.select("u", "v")
     fits = f"(uown or vown) and 2L * least(un, vn) >= greatest(un, vn) and {b}L * least(uw, vw) >= {a}L * greatest(uw, vw)"
 
@@ -165,8 +153,11 @@ def linked_sets(sets: DataFrame, links: DataFrame, jaccard: Fraction = JACCARD,
         """The postings with the components so far, of shingles in several components only."""
         groups = connected_components(links)
         rows = posting.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
-        several = rows.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("k")
-        return materialize(rows.join(several, "k"), "rows")
+        by_shingle = Window.partitionBy("k")
+        several = rows.withColumns({"lo": F.min("g").over(by_shingle), "hi": F.max("g").over(by_shingle)}).where("lo < hi")
+        found = materialize(several.drop("lo", "hi"), "rows")
+        release(sets)
+        return found
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         return rows.withColumnsRenamed({"c": x, **{y: x + y for y in ("n", "w", "own", "at", "g")}})
@@ -177,6 +168,7 @@ def linked_sets(sets: DataFrame, links: DataFrame, jaccard: Fraction = JACCARD,
         met = side(rows, "v").join(side(first, "u"), "k").where(f"ug <> vg and {fits}").groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
         best = met.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "u")), False), 1, stars).alias("b"))  # a shingle each
         best = materialize(best.select("v", F.explode("b.u").alias("u")).select("u", "v"), "met")
+        release(sets)
         links = materialize(links.unionByName(verified(best, sets, jaccard)), "links")
         discard(best)
         discard(rows)
@@ -193,4 +185,5 @@ def linked_sets(sets: DataFrame, links: DataFrame, jaccard: Fraction = JACCARD,
     met = materialize(met.where(f"{a + b}L * {most} >= {a}L * (uw + vw)").select("u", "v"), "met")
     discard(rows)
     discard(posting)
+    release(sets)
     return connected_components(links.unionByName(verified(met, sets, jaccard)))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import golay
-from gleanery.llm.common import materialize, same, texts
+from gleanery.llm.common import discard, materialize, same, texts
 from gleanery.llm.components import connected_components
-from gleanery.llm.setjoin import Memo, level_of, linked_sets, select, set_number, shingle_set
+from gleanery.llm.setjoin import Memo, level_of, linked_sets, release, select, set_number, shingle_set
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -198,7 +198,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     their names.
     """
     worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = materialize(fingerprints(worded, id_col, text_col, with_sets=True), "marked")
+    marked = materialize(fingerprints(worded, id_col, text_col, with_sets=True), "marked")
+    sets = materialize(marked.groupBy("c").agg(F.first("n").alias("n"), F.first("s").alias("s")), "sets")
+    found = materialize(marked.select("id", "f0", "c"), "named")  # without the sets, which are there once now
+    discard(marked)
+    release(docs)
     prints = found.select("f0", "c").distinct()
     classes = materialize(prints.groupBy("f0").agg(F.min("c").alias("c"), F.max("c").alias("other")), "classes")
     alike = prints.join(classes.where("c < other").select("f0", F.col("c").alias("u")), "f0").where("c <> u").select("u", F.col("c").alias("v"))
@@ -206,10 +210,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     for end in "uv":
         near = near.join(classes.select(F.col("f0").alias(end), F.col("c").alias(f"{end}c")), end)
     links = materialize(alike.unionByName(near.select(F.col("uc").alias("u"), F.col("vc").alias("v"))), "links")
-    sets = materialize(found.groupBy("c").agg(F.first("n").alias("n"), F.first("s").alias("s")), "sets")
+    release(docs)
     groups = linked_sets(sets, links)
     labelled = found.select("id", "c").join(groups.withColumnRenamed("node", "c"), "c", "left")
     labelled = materialize(labelled.select("id", F.coalesce("component", "c").alias("component")), "labelled")
+    for table in (sets, links, classes, found):
+        discard(table)
+    release(docs)
     least = labelled.groupBy("component").agg(F.min("id").alias("least"))
     gone = labelled.join(least, "component").where("id <> least").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, same(docs[id_col], gone["_gone"]), "left_anti")

@@ -68,3 +68,11 @@ def test_copies_at_the_very_threshold_are_dropped(spark):
         rows.append((g * 10 + 2, " ".join([*(word(2000 + k) for k in range(23)), *base[-37:]])))
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {g * 10 + k for g in range(10) for k in (0, 2)}
+
+
+def test_sets_that_meet_by_chance_give_no_postings(spark):
+    """Each set shares eight of its twenty shingles with one other; the twelve that are its own come
+    first, however few of the sets a sample would have taken."""
+    rows = [(c, 20, sorted([*(1000 * c + i for i in range(12)), *(-1000 * (c // 2) - i for i in range(1, 9))])) for c in range(6000)]
+    table = spark.createDataFrame(rows, "c long, n int, s array<long>")
+    assert setjoin._postings(table, setjoin.JACCARD).count() == 0
