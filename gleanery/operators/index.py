@@ -22,23 +22,28 @@ def analysed(docs: DataFrame, analyser: str = "alphabetic", id_col: str = "doc_i
 
 
 def segmented(docs: DataFrame, max_segment_docs: int | None = DEFAULT_SEGMENT_DOCS, analyser: str = "alphabetic") -> DataFrame:
-    """(segment_id, seg_doc_id, doc_id, doc_terms, doc_len): documents in the order of their ids, cut
-    into segments of ``max_segment_docs`` and numbered from 0 in each; None: one segment."""
+    """(part, segment_id, seg_doc_id, doc_id, doc_terms, doc_len): documents in the order of their ids, cut
+    into segments of ``max_segment_docs`` and numbered from 0 in each; None: one segment. Texts are analysed
+    before they are moved, so that where only lengths are asked for nothing else is. ``part`` is
+    the partition, which has a bounded number of documents."""
     if max_segment_docs is not None and max_segment_docs < 1:
         raise ValueError("a segment holds one document at least")
-    numbered = with_row_number(docs.select("doc_id", "text"), "doc_id", "_row")
+    numbered = with_row_number(analysed(docs, analyser), "doc_id", "_row", "part")
     size = F.lit(max_segment_docs) if max_segment_docs else F.lit((1 << 31) - 1)
     return numbered.select(
+        "part",
         F.floor(F.col("_row") / size).cast("int").alias("segment_id"),
         (F.col("_row") % size).cast("int").alias("seg_doc_id"),
         "doc_id",
-        ANALYSERS[analyser](F.col("text")).alias("doc_terms"),
-    ).withColumn("doc_len", F.size("doc_terms"))
+        "doc_terms",
+        "doc_len",
+    )
 
 
 def postings_of(docs: DataFrame, keys: list[str], wanted: Column | None = None) -> DataFrame:
-    """(keys, doc_len, term, tf) of analysed documents; ``wanted`` filters terms before the shuffle."""
-    exploded = docs.select(*keys, "doc_len", F.explode("doc_terms").alias("term"))
+    """(keys, doc_len, term, tf) of analysed documents; ``wanted`` filters terms before the shuffle. For an
+    inner explode the planner would add a filter that analyses texts again."""
+    exploded = docs.select(*keys, "doc_len", F.explode_outer("doc_terms").alias("term")).where(F.col("term").isNotNull())
     if wanted is not None:
         exploded = exploded.where(wanted)
     return exploded.groupBy(*keys, "doc_len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -67,37 +72,43 @@ class Index:
         return self.docs.where((F.col("segment_id") == segment_id) & F.col("seg_doc_id").isin(*seg_doc_ids))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Parquet below ``path``. Postings lie in directories by segment and are sorted by term and
-        document, so that row groups can be left out by their bounds."""
+        """Parquet below ``path``, a directory of postings for each call. Each task sorts the postings of its
+        documents by term and writes one file, however many segments there are, so that row groups
+        can be left out by their bounds. Terms and statistics are counted from what was written."""
+        spark, first = self.postings.sparkSession, 0
         if mode == "append":
-            self = self._renumbered(path)
-        by_segment = self.postings.repartition("segment_id").sortWithinPartitions("segment_id", "term", "seg_doc_id")
-        by_segment.write.mode(mode).option("parquet.bloom.filter.enabled#term", "true").partitionBy("segment_id").parquet(f"{path}/postings")
-        for name in TABLES[1:]:
-            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
-
-    def _renumbered(self, path: str) -> Index:
-        spark = self.postings.sparkSession
-        last = spark.read.parquet(f"{path}/stats").agg(F.max("segment_id")).first()[0]
-        move = F.col("segment_id") + F.lit(0 if last is None else last + 1)
-        return Index(*(getattr(self, n).withColumn("segment_id", move) for n in TABLES))
+            last = spark.read.parquet(f"{path}/stats").agg(F.max("segment_id")).first()[0]
+            first = 0 if last is None else last + 1
+        moved = lambda df: df.withColumn("segment_id", (F.col("segment_id") + F.lit(first)).cast("int"))
+        ordered = moved(self.postings).withColumn("first", F.lit(first)).sortWithinPartitions("first", "term", "segment_id", "seg_doc_id")
+        ordered.write.mode(mode).option("parquet.bloom.filter.enabled#term", "true").partitionBy("first").parquet(f"{path}/postings")
+        moved(self.docs).write.mode(mode).parquet(f"{path}/docs")
+        own = F.col("segment_id") >= first
+        written = Index.open_postings(spark, path).where((F.col("first") == first) & own)
+        term_dictionary(written).write.mode(mode).parquet(f"{path}/terms")
+        docs, terms = (spark.read.parquet(f"{path}/{n}").where(own) for n in ("docs", "terms"))
+        segment_stats(docs, terms).write.mode(mode).parquet(f"{path}/stats")
 
     def cache(self) -> Index:
         for name in TABLES:
             getattr(self, name).cache()
         return self
 
+    @staticmethod
+    def open_postings(spark: SparkSession, path: str) -> DataFrame:
+        schema = "term string, seg_doc_id int, doc_len int, tf int, segment_id int, first int"
+        return spark.read.schema(schema).parquet(f"{path}/postings")
+
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        schema = "term string, seg_doc_id int, doc_len int, tf int, segment_id int"
-        return Index(spark.read.schema(schema).parquet(f"{path}/postings").select(*POSTING), *(spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]))
+        return Index(Index.open_postings(spark, path).select(*POSTING), *(spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]))
 
 
 def build_index(docs: DataFrame, max_segment_docs: int | None = DEFAULT_SEGMENT_DOCS, analyser: str = "alphabetic") -> Index:
     """An index over (doc_id, text). Rows that share an id stay separate documents."""
     found = segmented(docs, max_segment_docs, analyser)
     keys = ["segment_id", "seg_doc_id"]
-    postings = postings_of(found, keys).select(*POSTING)
+    postings = postings_of(found, ["part", *keys]).select(*POSTING)  # counted where the documents are
     terms = term_dictionary(postings)
     table = found.select(*keys, "doc_id", "doc_len")
     return Index(postings, table, terms, segment_stats(table, terms))
