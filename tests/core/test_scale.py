@@ -1,6 +1,6 @@
 """What tasks hold and what is shuffled do not grow out of proportion."""
 
-from gleanery.operators import index, numbering
+from gleanery.operators import index, numbering, search
 
 
 def plan(df):
@@ -32,3 +32,19 @@ def test_ranges_have_a_bounded_number_of_rows(spark, monkeypatch):
     found = numbering.with_row_number(toy(spark, 200), "doc_id", "row", "part")
     assert max(r["count"] for r in found.groupBy("part").count().collect()) <= 10
     assert [r.row for r in found.orderBy("doc_id").collect()] == list(range(200))
+
+
+def test_scores_are_added_up_where_the_documents_are(spark):
+    asked = spark.createDataFrame([(k, "cat w1 w2") for k in range(5)], "query_id int, text string")
+    assert "hashpartitioning(query_id" not in plan(search.score_documents(toy(spark), asked, search.SCORERS))
+    assert "hashpartitioning(query_id#" not in plan(search.search_index(index.build_index(toy(spark)), asked)).split("WindowGroupLimit")[-1]
+
+
+def test_tasks_follow_the_scores(spark, monkeypatch):
+    asked = spark.createDataFrame([(k, "cat w1 w2") for k in range(5)], "query_id int, text string")
+    expected = sorted(search.search_documents(toy(spark), asked).collect())
+    monkeypatch.setattr(search, "TASK_PARTS", 10)
+    many = search.score_documents(toy(spark), asked, ("bm25",))
+    assert "REPARTITION_BY_NUM" in plan(many)
+    assert many.rdd.getNumPartitions() > 4
+    assert sorted(search.search_documents(toy(spark), asked).collect()) == expected and len(expected) == 50
