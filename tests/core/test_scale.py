@@ -1,6 +1,8 @@
 """What tasks hold and what is shuffled do not grow out of proportion."""
 
-from gleanery.operators import index, numbering, search
+import pyarrow as pa
+
+from gleanery.operators import codec, index, numbering, search
 
 
 def plan(df):
@@ -48,3 +50,30 @@ def test_tasks_follow_the_scores(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(many)
     assert many.rdd.getNumPartitions() > 4
     assert sorted(search.search_documents(toy(spark), asked).collect()) == expected and len(expected) == 50
+
+
+class Streamed:
+    """Stands for a sorted table; the function of mapInArrow is kept."""
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_lists_are_coded_across_batches_and_unpacked_in_parts(monkeypatch):
+    monkeypatch.setattr(codec, "UNPACKED", 300)
+    lists = {(0, "a"): 1, (0, "b"): 700, (1, "b"): 129, (1, "c"): 128, (2, "d"): 2}
+    lists = {k: [(3 * i + 7 * n, i % 9) for i in range(n)] for k, n in lists.items()}
+    rows = [(*k, *p) for k, v in lists.items() for p in v]
+    for size in (1, 50, 2000):
+        parts = [pa.RecordBatch.from_pylist([dict(zip("stdf", r)) for r in rows[i : i + size]], pa.schema([("s", pa.int32()), ("t", pa.string()), ("d", pa.int32()), ("f", pa.int32())])) for i in range(0, len(rows), size)]
+        encoded = [*codec.encode_lists(Streamed())(iter(parts))]
+        got = {(r["segment_id"], r["term"]): (r["postings"], r["data"]) for b in encoded for r in b.to_pylist()}
+        assert got == {k: (len(v), codec.encode_postings(v)) for k, v in lists.items()}
+        decoded = [*codec.decode_lists(Streamed())(iter(encoded))]
+        assert sorted(tuple(r.values()) for b in decoded for r in b.to_pylist()) == sorted(rows)
+        assert max(b.num_rows for b in decoded) < 1000
