@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from gleanery.functions import wikitext
 from gleanery.operators import codec, index, numbering, search
 
 
@@ -77,3 +78,10 @@ def test_lists_are_coded_across_batches_and_unpacked_in_parts(monkeypatch):
         decoded = [*codec.decode_lists(Streamed())(iter(encoded))]
         assert sorted(tuple(r.values()) for b in decoded for r in b.to_pylist()) == sorted(rows)
         assert max(b.num_rows for b in decoded) < 1000
+
+
+def test_markup_is_stripped_in_parts():
+    texts = [None, *["[[a|b]]"] * 299]
+    parts = [*wikitext.strip_wikitext_column.func(iter([pa.array(texts)]))]
+    assert max(map(len, parts)) <= 128
+    assert [x for p in parts for x in p.to_pylist()] == [None, *["b"] * 299]
