@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from gleanery import queries
 from gleanery.functions import wikitext
 from gleanery.operators import codec, index, numbering, search
 
@@ -53,6 +54,15 @@ def test_tasks_follow_the_scores(spark, monkeypatch):
     assert sorted(search.search_documents(toy(spark), asked).collect()) == expected and len(expected) == 50
 
 
+def test_judgments_analyse_a_text_once(spark, tmp_path):
+    docs = [(1, "A b, c d e f g"), (2, "b c d e f g"), (3, "a b c d e"), (4, "x a b c d e f"), (5, "xa b c d e f"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "a b c d e f zz"), (1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = queries._qrels(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 2.0), (0, 4, 1.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 3  # two are of the benchmark
+
+
 class Streamed:
     """Stands for a sorted table; the function of mapInArrow is kept."""
 
